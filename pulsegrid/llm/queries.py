@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulsegrid.llm.embeddings import near_embeddings
 from pulsegrid.llm.exact import exact_duplicates
 from pulsegrid.llm.minhash import near_duplicates
 from pulsegrid.llm.pieces import round_trip
+from pulsegrid.llm.quality import classify
 from pulsegrid.llm.tokens import token_counts
 from pulsegrid.llm.warc import archive_round_trip
 
@@ -28,6 +30,16 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, expected_grade, tail_probability and kept of every document."""
+    scored = classify(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "expected_grade", "tail_probability", "kept")
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op4_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -46,6 +58,8 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_quality_ordinal": op2_quality_ordinal,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_sentencepiece_round_trip": op4_sentencepiece_round_trip,
     "op7_token_counts": op7_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
