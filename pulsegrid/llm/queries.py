@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulsegrid.llm.embeddings import near_embeddings
-from pulsegrid.llm.exact import exact_duplicates
+from pulsegrid.llm.exact import exact_duplicates, normalised
 from pulsegrid.llm.minhash import near_duplicates
+from pulsegrid.llm.packing import pack
 from pulsegrid.llm.pieces import round_trip
 from pulsegrid.llm.quality import classify
+from pulsegrid.llm.suffixes import repeated_passages
 from pulsegrid.llm.tokens import token_counts
 from pulsegrid.llm.warc import archive_round_trip
 
@@ -44,6 +47,10 @@ def op4_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -56,14 +63,27 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def packing_items(docs: DataFrame) -> DataFrame:
+    """doc_id, length in tokens, source, and the digest of the normalised text as duplicate cluster."""
+    docs = docs.select("doc_id", "source", F.sha2(normalised("text"), 256).alias("cluster"), "text")
+    counts = token_counts(docs, tokenizer("byte_bpe_50k.json"), keep=["doc_id", "source", "cluster"])
+    return counts.select("doc_id", F.col("n_tokens").alias("length"), "source", "cluster")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark, packing_items(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_ordinal": op2_quality_ordinal,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_sentencepiece_round_trip": op4_sentencepiece_round_trip,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc_round_trip": op9_warc_round_trip,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {

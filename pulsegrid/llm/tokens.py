@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.runtime import importable
 
@@ -90,7 +91,7 @@ def pieces(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
-def count_batches(path: str, id_column: str):
+def count_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, cut = counter(path)
         for batch in batches:
@@ -117,18 +118,21 @@ def count_batches(path: str, id_column: str):
                         held = 0
             if parts:
                 flush()
-            yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=[id_column, "n_bytes", "n_tokens"])
+            others = [c for c in batch.schema.names if c != "text"]
+            columns = [*(batch.column(c) for c in others), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, "n_bytes", "n_tokens"])
 
     return run
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 512, id_column: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: its id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``).
+def token_counts(docs: DataFrame, path: str, limit: int = 512, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """One row per row of ``docs``: the columns ``keep``, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``).
 
-    ``docs`` needs the id column and text; other columns are ignored, and a null text
-    counts as empty, with 0 tokens. ``path`` is a tokenizer file every executor can
-    read. Repeated rows stay; an empty table gives an empty result.
+    ``docs`` needs text and the kept columns, which have none of these names; others are
+    ignored, and a null text counts as empty, with 0 tokens. ``path`` is a tokenizer
+    file every executor can read. Repeated rows stay; an empty table gives an empty result.
     """
     importable(docs.sparkSession)
-    counted = docs.select(id_column, "text").mapInArrow(count_batches(path, id_column), f"{id_column} {dict(docs.dtypes)[id_column]}, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    kept = docs.select(*keep, F.col("text"))
+    schema = T.StructType([*kept.schema.fields[:-1], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    return kept.mapInArrow(count_batches(path), schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -49,3 +49,18 @@ def near_duplicates(rows, percent=85, k=5):
     links = [(a, b) for (a, b), i in shared.items() if 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i)]
     component = roots(sets, links)
     return {d: (len(sets[d]), component[d]) for d in sets}
+
+
+def repeated_words(rows, least=50):
+    """{doc_id: word indexes in a run of ``least`` words that some document of smaller doc_id holds}."""
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        words = WORD.findall(t or "")
+        grams = [tuple(words[i : i + least]) for i in range(len(words) - least + 1)]
+        hit = set()
+        for i, g in enumerate(grams):
+            if g in seen:
+                hit.update(range(i, i + least))
+        out[d] = hit
+        seen.update(grams)
+    return out
