@@ -30,7 +30,10 @@ NEAREST = 4
 
 
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the minimisers of one document's words; repeats within a window count once."""
+    """Positions and hashes of the minimisers of one document's words.
+
+    Of a run of equal ones, as in a text of one repeated word, one in each window and the last stay.
+    """
     n = len(hashes)
     if n < LEAST:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -43,13 +46,13 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = grams[at]
     if (key[1:] == key[:-1]).any():
         keep, last = np.ones(len(at), bool), 0
-        for i in np.flatnonzero(key[1:] == key[:-1]) + 1:
-            if not keep[i - 1]:
-                pass
-            else:
-                last = i - 1
-            if key[last] == key[i] and at[i] - at[last] < WINDOW:
+        for i in range(1, len(at)):
+            if key[i] != key[i - 1]:
+                last = i
+            elif at[i] - at[last] < WINDOW and i + 1 < len(at) and key[i + 1] == key[i]:
                 keep[i] = False
+            else:
+                last = i
         at, key = at[keep], key[keep]
     return at, key
 
@@ -69,12 +72,14 @@ def anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, shift) of a suffix with neighbours of earlier documents; edge rows of the partition have shift null.
+    """Pairs (a, b, shift) of a suffix with the first and last suffix of each neighbouring earlier document.
+
+    Edge rows of the partition have shift null.
 
     The edges are the first suffix and the last of the partition, as (a = doc_id, b = pos, gram).
     """
     gram = first = last = None
-    before: list[tuple[int, int]] = []
+    before: list[tuple[int, int, int]] = []
     head = tail = None
     for batch in batches:
         if not batch.num_rows:
@@ -82,14 +87,18 @@ def neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         a, b, shift = [], [], []
         for g, d, p in zip(*(batch.column(c).to_numpy().tolist() for c in ("gram", "doc_id", "pos"))):
             if g != gram:
-                gram, first, before, last = g, (d, p), [], (d, p)
+                gram, first, before, last = g, None, [], (d, p, p)
             elif d != last[0]:
-                before = [*before[1 - NEAREST :], last]
-            for doc, pos in before if not before or first[0] == before[0][0] else [first, *before]:
-                a.append(doc)
-                b.append(d)
-                shift.append(p - pos)
-            last = (d, p)
+                first = first or last
+                before, last = [*before[1 - NEAREST :], last], (d, p, p)
+            else:
+                last = (d, last[1], p)
+            if first:
+                for doc, low, high in before if first[0] == before[0][0] else [first, *before]:
+                    for pos in (low, high) if low < high else (low,):
+                        a.append(doc)
+                        b.append(d)
+                        shift.append(p - pos)
             head = head or (g, d, p)
             tail = (g, d, p)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shift, pa.int32())], names=["gram", "a", "b", "shift"])
