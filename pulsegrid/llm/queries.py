@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.embeddings import near_embeddings
 from pulsegrid.llm.exact import exact_duplicates, normalised
 from pulsegrid.llm.minhash import near_duplicates
+from pulsegrid.llm.ngrams import backoff_scores
 from pulsegrid.llm.packing import pack
 from pulsegrid.llm.pieces import round_trip
 from pulsegrid.llm.quality import classify
@@ -47,6 +48,10 @@ def op4_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(spark, table(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_ordinal": op2_quality_ordinal,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_sentencepiece_round_trip": op4_sentencepiece_round_trip,
+    "op5_backoff_scores": op5_backoff_scores,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_exact_dedup": op8_exact_dedup,

@@ -64,3 +64,28 @@ def repeated_words(rows, least=50):
         out[d] = hit
         seen.update(grams)
     return out
+
+
+def backoff_scores(rows, order=2):
+    """{doc_id: (n_words, log_score)} by the definition, counts of other documents only."""
+    import math
+    from collections import Counter
+
+    texts = {d: tuple(WORD.findall((t or "").translate(ASCII_LOWER))) for d, t in rows}
+    own = {d: Counter(w[i : i + n] for n in range(1, order + 1) for i in range(len(w) - n + 1)) for d, w in texts.items()}
+    total = sum(own.values(), Counter())
+    words = sum(map(len, texts.values()))
+    out = {}
+    for d, w in texts.items():
+        score = 0.0
+        for i in range(len(w)):
+            n, penalty = min(order, i + 1), 0.0
+            while n > 1 and total[w[i - n + 1 : i + 1]] <= own[d][w[i - n + 1 : i + 1]]:
+                n, penalty = n - 1, penalty + math.log(0.4)
+            gram = w[i - n + 1 : i + 1]
+            if n > 1:
+                score += penalty + math.log((total[gram] - own[d][gram]) / (total[gram[:-1]] - own[d][gram[:-1]]))
+            else:
+                score += penalty + math.log(max(total[gram] - own[d][gram], 0.5) / max(words - len(w), 1))
+        out[d] = (len(w), score)
+    return out
