@@ -6,18 +6,34 @@ aggregation over (name, type, tags) with map-side partial sums makes all four ki
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import clean_name, from_accumulated, key_of, seconds, tags_key
 from pulsegrid.plans.definitions import Kind, Metric
 
+log = logging.getLogger(__name__)
 SUMMARY_FIELDS = ("min", "max", "accumulated", "accumulated_sqrd", "reports")
 CALCULATED_FIELDS = ("min", "max", "average", "std_dev")
 
 
+def usable(events: DataFrame, metric: Metric) -> bool:
+    """Whether a metric's functions fit the events; one that doesn't is logged and left out, the others go on."""
+    if not (callable(metric.measurement) or metric.keep or metric.tag_values):
+        return True
+    measurements, metadata = F.col("measurements"), F.col("metadata")
+    try:
+        events.select(metric.kept(metadata), metric.value(measurements, metadata), metric.tag_map(metadata))
+    except (AnalysisException, TypeError, ValueError) as e:
+        log.warning("metric %s is left out: %s", metric.full_name, e)
+        return False
+    return True
+
+
 def metric_rows(events: DataFrame, metrics: Sequence[Metric], *extra: Column) -> DataFrame:
     """One row (name, type, tags, value, seq, second) for each event and metric that takes it.
 
@@ -25,6 +41,7 @@ def metric_rows(events: DataFrame, metrics: Sequence[Metric], *extra: Column) ->
     tags are sorted entries, which unlike maps can be grouped, joined and sorted.
     """
     measurements, metadata = F.col("measurements"), F.col("metadata")
+    metrics = [m for m in metrics if usable(events, m)]
     names = sorted({m.event for m in metrics})
     wanted = events.filter(clean_name(F.col("event_name")).isin(*names)) if names else events.limit(0)
     taken = [

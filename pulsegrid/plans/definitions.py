@@ -77,12 +77,14 @@ class LoggedEvent:
     """An event for the log: ``tags`` are an allow-list, ``measurement_values`` transforms (key, value) columns.
 
     ``measurements_values`` is accepted as another name of ``measurement_values``.
+    ``translate`` does the same by a Python function of (key, value), batch by batch.
     """
 
     event_name: str
     tags: tuple[str, ...] = ()
     measurement_values: Callable[[Column, Column], Column] | None = None
     measurements_values: Callable[[Column, Column], Column] | None = None
+    translate: Callable[[str, float], float] | None = None
     group: str = "default"
 
     @property
@@ -93,6 +95,10 @@ class LoggedEvent:
         return take_present(metadata, self.tags)
 
     def measured(self, measurements: Column) -> Column:
+        if self.translate:
+            f = self.translate
+            by_python = F.udf(lambda m: None if m is None else {k: f(k, v) for k, v in m.items()}, "map<string,double>", useArrow=True)
+            return by_python(measurements)
         change = self.measurement_values or self.measurements_values
         return F.transform_values(measurements, change) if change else measurements
 

@@ -6,7 +6,6 @@ import logging
 import threading
 import time
 from collections.abc import Sequence
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +14,11 @@ from pulsegrid.errors import DataLoadError
 from pulsegrid.operators import event_log, exports, reports
 from pulsegrid.operators import history as hist
 from pulsegrid.operators import state as st
+from pulsegrid.operators.clock import ClockMonitor
 from pulsegrid.plans import range_query
 from pulsegrid.plans.definitions import Config
 from pulsegrid.runtime import delete, exists
-from pulsegrid.sources import metrics_file
+from pulsegrid.sources import log_file, metrics_file
 
 log = logging.getLogger(__name__)
 FORMAT_VERSION = 2
@@ -50,7 +50,9 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, config: Config, clock: event_log.Clock | None = None):
-        self.spark, self.config, self.clock = spark, config, clock
+        self.spark, self.config = spark, config
+        self.clock = ClockMonitor(clock)
+        self.waiting = spark.createDataFrame([], LOG)
         self.session = config.session or event_log.new_session()
         self.path = f"{config.persistence_dir.rstrip('/')}/{config.instance}"
         self.cursor = reports.Cursor()
@@ -58,6 +60,7 @@ class Engine:
         self.state = st.prune(spark, self.load("metrics_table"), config.metrics)
         self.history = self.load("history")
         self.events = event_log.last_by_arrival(self.load("event_log"), config.event_log_size)
+        self.clock.register(self.synchronize)
         self.timer: threading.Timer | None = None
         self.schedule()
 
@@ -68,7 +71,8 @@ class Engine:
 
     @property
     def synchronized(self) -> bool:
-        return self.clock is None or self.clock.synchronized()
+        """Whether the clock is right; asks it if it wasn't."""
+        return self.clock.poll()
 
     def load(self, table: str) -> DataFrame:
         """A saved table, or an empty one if there is none or it can't be read."""
@@ -116,7 +120,10 @@ class Engine:
         self.history = self.history.unionByName(merged).join(F.broadcast(kept), "timestamp").drop("tier").withColumnRenamed("kept_tier", "tier").select(*self.history.columns)
         self.state = st.merge_state(self.state, fresh)
         rows = event_log.log_rows(telemetry, self.config.events, self.session)
-        self.events = event_log.last_by_arrival(self.events.unionByName(rows), self.config.event_log_size)
+        if self.synchronized:
+            self.events = event_log.last_by_arrival(self.events.unionByName(rows), self.config.event_log_size)
+        else:
+            self.waiting = event_log.last_by_arrival(self.waiting.unionByName(rows), event_log.PRE_SYNC_SIZE)
 
     @staticmethod
     def merge_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -165,9 +172,15 @@ class Engine:
         rows, self.cursor = reports.latest_metrics(self.history, self.cursor, int(time.time()) if now is None else now)
         return rows
 
-    def synchronize(self, start_second: int, sync_second: int, sync_seq: int) -> None:
-        """The clock was set: correct the events that arrived before."""
-        self.events = event_log.synchronized_log(self.events, sync_seq, start_second, sync_second, self.config.event_log_size)
+    def synchronize(self, sync_second: int, adjustment: int) -> None:
+        """The clock is right: events that waited for it are corrected and join the log."""
+        moved = event_log.corrected(self.waiting, sync_second, adjustment)
+        self.events = event_log.last_by_arrival(self.events.unionByName(moved), self.config.event_log_size)
+        self.waiting = self.spark.createDataFrame([], LOG)
+
+    def events_binary(self, from_: int = 0, to: int | None = None) -> bytes:
+        """The listed events as bytes."""
+        return log_file.to_binary(self.list_events(from_, to))
 
     def save(self) -> dict[str, float]:
         """Write history, state and log, in that order, stopping at the first failure; seconds taken by table.
@@ -209,10 +222,7 @@ class Engine:
 
     def stop(self) -> None:
         """Stop saving by time and save once more."""
+        self.clock.stop()
         if self.timer:
             self.timer.cancel()
         self.save()
-
-
-def with_session(config: Config, session: str) -> Config:
-    return replace(config, session=session)

@@ -90,6 +90,45 @@ def test_clock(spark):
     assert [(r.seq, r.timestamp) for r in got] == [(1, 4011), (2, 4012), (3, 5000), (4, 5001)]
 
 
+def test_clock_monitor(spark, tmp_path):
+    from pulsegrid.operators.clock import ClockMonitor
+    from pulsegrid.plans.definitions import Config
+
+    class Set:
+        right = False
+
+        def synchronized(self):
+            return self.right
+
+    at, told = [100], []
+    monitor = ClockMonitor(clock := Set(), lambda: at[0])
+    monitor.register(lambda *x: told.append(x))
+    assert not monitor.poll() and told == []
+    clock.right, at[0] = True, 5000
+    assert monitor.poll() and monitor.poll() and told == [(5000, 4900)]
+    monitor.register(lambda *x: told.append(x))
+    assert told[1] == (5000, 0)
+    clock.right = False
+    engine = Engine(spark, Config(events=(LoggedEvent("a", translate=lambda k, v: v + 1),), persistence_dir=str(tmp_path)), clock)
+    engine.clock.started, engine.clock.now = 10, lambda: 1010
+    engine.ingest(events(spark, (11, "a", {"v": 1.0}, {}), (12, "a", None, {})))
+    assert engine.list_events(now=5000).count() == 0
+    clock.right = True
+    assert engine.synchronized
+    assert [(r.timestamp, r.measurements) for r in engine.list_events(now=5000).collect()] == [(1011, {"v": 2.0}), (1012, None)]
+
+
+def test_log_binary(spark):
+    from pulsegrid.sources import log_file
+
+    data = log_file.to_binary(log(spark, 5, 3))
+    assert [r["timestamp"] for r in log_file.parse(data)] == [3, 5]
+    assert log_file.parse(bytes([1])) == []
+    for bad in (b"", b"\x02", b"\x01{", b"\x01[1]", b"\x01\xff"):
+        with pytest.raises(BinaryFormatError):
+            log_file.parse(bad)
+
+
 def test_engine_life(spark, tmp_path):
     metrics = (Metric("a", Kind.COUNTER, name="a.count"), Metric("a", Kind.SUMMARY, "v", "a.v"))
     config = Config(metrics, (LoggedEvent("a", ("t",)),), persistence_dir=str(tmp_path), session="run")
