@@ -24,7 +24,7 @@ from pulsegrid.llm.text import LOWER, TABLE, U, Words, chunks, mix, spans
 from pulsegrid.runtime import importable
 
 BITS = 18
-SAMPLE = 24_000
+SAMPLE = 16_000
 """Labelled rows the model is fitted on at most, those with the smallest hash of their id."""
 MIN_Z = 4.0
 """A feature has a weight only if its texts' grades differ from the other texts' by so many standard errors at some cut."""
