@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.batches import by_key, runs
-from pulsegrid.llm.graph import components
+from pulsegrid.llm.graph import components, united
 from pulsegrid.runtime import Scratch
 
 WINDOW = 64
@@ -82,20 +82,6 @@ def key_batches(passes: int):
     return run
 
 
-def united(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest row reachable from each of ``n`` rows by the links a-b."""
-    low = np.arange(n)
-    while True:
-        least = np.minimum(low[a], low[b])
-        new = low.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def window_batches(cosine: float):
     """Links between rows at most WINDOW apart in the sorted order, as a star for each group found in a batch."""
 

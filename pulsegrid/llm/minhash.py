@@ -2,15 +2,18 @@
 
 A document's shingles are dealt over 128 buckets by the top hash bits; each bucket
 keeps its smallest remainder as a 16-bit register, 6 bits of leading-zero count and
-10 bits of mantissa. Four registers make a band, and equal bands propose pairs. A
+10 bits of mantissa. Six registers make a band, and equal bands propose pairs. A
 collision-corrected estimate from the registers drops most false proposals, and the
 rest are confirmed on the full shingle sets.
 
 Equal sets are collapsed first, so a group of copies counts as one member. Inside a
-band's bucket, pairs are not enumerated: in each round a bucket's members are compared
-with a few leaders only; members already in one component need no comparison, and a
-leader compared with all others leaves. The number of leaders grows fourfold each
-round, so every bucket ends, with every pair of different components compared.
+band's bucket of more than ``SMALL`` members, pairs are not enumerated: in each round the
+members are compared with one leader; those already in one component need no comparison,
+and the leader, compared with all others, leaves. What then stays open is dealt anew: each
+member gets four further bands of eight registers within its bucket. A pair at the threshold shares about as
+many buckets after that as before, while pairs that only share a common passage part.
+After ``SPLITS`` rounds the number of leaders grows fourfold each round instead, so
+that every bucket ends, whatever is in it.
 """
 
 from __future__ import annotations
@@ -31,8 +34,12 @@ from pulsegrid.runtime import Scratch
 
 BUCKET_BITS = 7
 MANTISSA = 10
-BAND = 4
 BUCKETS = 1 << BUCKET_BITS
+BAND, BANDS = 6, 40
+EARLY = 7
+"""One in so many buckets is compared first, so that groups of close copies are one component before the rest is."""
+SMALL = 8
+SUB_BAND, SUB_BANDS, SPLITS = 8, 4, 6
 SLACK = 0.14
 """Pairs estimated more than this below the threshold are dropped: over 4.4 standard errors of 128 registers at 0.85."""
 
@@ -56,11 +63,40 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def band_registers() -> np.ndarray:
+    """The registers of each band, from permutations in turn, so that every register is in several bands."""
+    rng = np.random.default_rng(20240302)
+    whole = BUCKETS // BAND
+    drawn = [rng.permutation(BUCKETS)[: whole * BAND].reshape(whole, BAND) for _ in range(-(-BANDS // whole))]
+    return np.concatenate(drawn)[:BANDS]
+
+
+REGISTERS = band_registers()
+
+
 def bands(regs: np.ndarray) -> list[np.ndarray]:
     """The hashes of each row's bands that hold a shingle."""
-    words = np.ascontiguousarray(regs).view(np.uint64)
-    keys = mix(words ^ mix(np.arange(1, words.shape[1] + 1, dtype=np.uint64)))
-    return [k[w != 0] for k, w in zip(keys, words, strict=True)]
+    keys = np.zeros((len(regs), BANDS), np.uint64) + mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+    for i in range(BAND):
+        keys = mix(keys + regs[:, REGISTERS[:, i]])
+    held = (regs[:, REGISTERS] != 0).any(2)
+    return [k[h] for k, h in zip(keys, held, strict=True)]
+
+
+def sub_bands(bucket: np.ndarray, regs: np.ndarray) -> list[np.ndarray]:
+    """For each row SUB_BANDS keys that hold a shingle, of registers drawn by its bucket."""
+    out, held = [], []
+    at = np.arange(len(regs))
+    for j in range(SUB_BANDS):
+        key, any_ = mix(bucket + U(j + 1)), np.zeros(len(regs), bool)
+        for i in range(SUB_BAND):
+            value = regs[at, (mix(bucket + U(1000 + j * SUB_BAND + i)) % U(BUCKETS)).astype(np.int64)]
+            key = mix(key + value)
+            any_ |= value != 0
+        out.append(key)
+        held.append(any_)
+    keys, held = np.stack(out, 1), np.stack(held, 1)
+    return [k[h] for k, h in zip(keys, held, strict=True)]
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -107,6 +143,11 @@ def set_batches(k: int):
     return run
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def split_bands(bucket: pd.Series, regs: pd.Series) -> pd.Series:
+    return pd.Series([signed(x) for x in sub_bands(bucket.to_numpy().view(np.uint64), np.frombuffer(b"".join(regs), np.uint16).reshape(-1, BUCKETS))])
+
+
 @F.pandas_udf(T.DoubleType())
 def estimated(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
     def rows(s):
@@ -129,32 +170,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, wor
     sketch = scratch.write(docs.mapInArrow(sketch_batches(words), "doc_id long, n long, d1 long, d2 long, regs binary, bands array<long>"), "sketch")
     classes = sketch.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     members = scratch.write(sketch.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    reps = sketch.join(members.filter("doc_id = rep and n > 0").select("doc_id").distinct(), "doc_id", "left_semi")
-    slots = reps.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("b")).distinct()
-    shared = slots.groupBy("b").count().filter("count > 1").select("b")
-    slots = scratch.write(slots.join(shared, "b", "left_semi").withColumn("label", F.col("rep")), "slots")
+    reps = sketch.join(members.filter("doc_id = rep and n > 0").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    slots = reps.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("b"))
+    shared = slots.groupBy("b").agg(F.count("*").alias("size")).filter("size > 1").select("b", (F.col("size") <= SMALL).alias("small"))
+    slots = scratch.write(slots.join(shared, "b").select("rep", "n", "b", F.col("rep").alias("label"), "small", (F.pmod("b", F.lit(EARLY)) == 0).alias("early")), "slots")
     wanted = scratch.write(slots.select("rep").distinct(), "wanted")
     regs = scratch.write(sketch.join(wanted, sketch.doc_id == wanted.rep, "left_semi").select(F.col("doc_id").alias("rep"), "regs").dropDuplicates(["rep"]), "regs")
     scratch.drop(sketch)
     texts = docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").dropDuplicates(["doc_id"])
     sets = scratch.write(texts.mapInArrow(set_batches(words), "rep long, shingles array<long>"), "sets")
 
-    labels, leaders, tested = wanted.select("rep", F.col("rep").alias("label")), 1, None
+    labels, turn = wanted.select("rep", F.col("rep").alias("label")), 0
     while not slots.isEmpty():
         order = F.struct(F.xxhash64("rep").alias("h"), "rep", "label", "n")
-        lead = slots.groupBy("b", F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(leaders)).alias("c")).agg(F.min(order).alias("lead"))
+        group = F.when(F.col("small"), F.col("rep")).otherwise(F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(4 ** max(0, turn - SPLITS))))
+        active = slots if turn else slots.filter("early")
+        lead = active.groupBy("b", group.alias("c")).agg(F.min(order).alias("lead"))
         lead = scratch.write(lead.select("b", F.col("lead.rep").alias("l_rep"), F.col("lead.label").alias("l_label"), F.col("lead.n").alias("l_n")), "lead")
-        near = slots.join(lead, "b").filter(f"label <> l_label and 100 * least(n, l_n) >= {percent} * greatest(n, l_n)")
+        near = active.join(lead, "b").filter(f"label <> l_label and 100 * least(n, l_n) >= {percent} * greatest(n, l_n)")
         pairs = near.select(
             F.least("rep", "l_rep").alias("u"),
             F.greatest("rep", "l_rep").alias("v"),
             F.when(F.col("rep") < F.col("l_rep"), F.col("n")).otherwise(F.col("l_n")).alias("nu"),
             F.when(F.col("rep") < F.col("l_rep"), F.col("l_n")).otherwise(F.col("n")).alias("nv"),
         ).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = scratch.write(pairs, "pairs")
-        tested = pairs.select("u", "v") if tested is None else tested.union(pairs.select("u", "v"))
         likely = (
             pairs.join(regs.select(F.col("rep").alias("u"), F.col("regs").alias("ru")), "u")
             .join(regs.select(F.col("rep").alias("v"), F.col("regs").alias("rv")), "v")
@@ -169,11 +209,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, wor
             of_u, of_v = labels.select(F.col("rep").alias("u"), F.col("label").alias("lu")), labels.select(F.col("rep").alias("v"), F.col("label").alias("lv"))
             merged = components(scratch, links.join(of_u, "u").join(of_v, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")))
             labels = scratch.write(labels.join(merged, labels.label == merged.node, "left").select("rep", F.coalesce("root", "label").alias("label")), "labels")
-        left = slots.drop("label").join(lead.select("b", F.col("l_rep").alias("rep")), ["b", "rep"], "left_anti").join(labels, "rep")
-        open_ = left.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("b")
-        following = scratch.write(left.join(open_, "b", "left_semi").select("rep", "n", "b", "label"), "slots")
-        scratch.drop(slots, lead)
-        slots, leaders = following, leaders * 4
+        left = slots.drop("label", "small", "early").join(lead.select("b", F.col("l_rep").alias("rep")), ["b", "rep"], "left_anti").join(labels, "rep")
+        open_ = left.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.count("*") <= SMALL).alias("small")).filter("lo < hi").select("b", "small")
+        left = scratch.write(left.join(open_, "b").select("rep", "n", "b", "label", "small"), "slots")
+        scratch.drop(slots, lead, pairs)
+        turn += 1
+        if 1 < turn <= SPLITS:
+            large = left.filter("not small").join(regs, "rep").withColumn("b", F.explode(split_bands("b", "regs"))).select("rep", "n", "b", "label", "small")
+            parts = large.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.count("*") <= SMALL).alias("small")).filter("lo < hi").select("b", "small")
+            slots = scratch.write(large.drop("small").join(parts, "b").select("rep", "n", "b", "label", "small").union(left.filter("small")), "slots")
+            scratch.drop(left)
+        else:
+            slots = left
     scratch.drop(sets, regs)
     found = members.join(labels, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
