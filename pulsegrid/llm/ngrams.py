@@ -31,7 +31,7 @@ from pulsegrid.runtime import Scratch
 BACKOFF = 0.4
 UNSEEN = 0.5
 """The count of a word that no other document holds."""
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 PART_GRAMS = 4_000_000
 
 
@@ -60,7 +60,7 @@ def block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     held = 0
     for batch in batches:
-        for at, to, text, offs in chunks(batch, "text"):
+        for at, to, text, offs in chunks(batch, "text", 1 << 20):
             ids.append(batch.column("doc_id").slice(at, to - at).to_numpy(zero_copy_only=False).astype(np.int64))
             sizes.append(np.diff(offs))
             data.append(text)
