@@ -8,9 +8,10 @@ rest are confirmed on the full shingle sets.
 
 Equal sets are collapsed first, so a group of copies counts as one member. Inside a
 band's bucket of more than ``SMALL`` members, pairs are not enumerated: in each round the
-members are compared with one leader; those already in one component need no comparison,
-and the leader, compared with all others, leaves. What then stays open is dealt anew: each
-member gets four further bands of eight registers within its bucket. A pair at the threshold shares about as
+members are compared with a few leaders, of the largest components found so far; those
+already in one component need no comparison, and the leaders, compared with all others,
+leave. What stays open after ``STARS`` rounds is dealt anew: each member gets four further
+bands of eight registers within its bucket. A pair at the threshold shares about as
 many buckets after that as before, while pairs that only share a common passage part.
 After ``SPLITS`` rounds the number of leaders grows fourfold each round instead, so
 that every bucket ends, whatever is in it.
@@ -39,7 +40,9 @@ BAND, BANDS = 6, 40
 EARLY = 7
 """One in so many buckets is compared first, so that groups of close copies are one component before the rest is."""
 SMALL = 8
-SUB_BAND, SUB_BANDS, SPLITS = 8, 4, 6
+SUB_BAND, SUB_BANDS = 8, 4
+STARS, SPLITS = 4, 9
+"""Rounds with leaders only, and those up to which open buckets are dealt anew."""
 SLACK = 0.14
 """Pairs estimated more than this below the threshold are dropped: over 4.4 standard errors of 128 registers at 0.85."""
 
@@ -180,10 +183,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, wor
     texts = docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").dropDuplicates(["doc_id"])
     sets = scratch.write(texts.mapInArrow(set_batches(words), "rep long, shingles array<long>"), "sets")
 
-    labels, turn = wanted.select("rep", F.col("rep").alias("label")), 0
+    labels, turn = wanted.select("rep", F.col("rep").alias("label"), F.lit(1).cast("long").alias("joined")), 0
+    slots = slots.withColumn("joined", F.lit(1).cast("long"))
     while not slots.isEmpty():
-        order = F.struct(F.xxhash64("rep").alias("h"), "rep", "label", "n")
-        group = F.when(F.col("small"), F.col("rep")).otherwise(F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(4 ** max(0, turn - SPLITS))))
+        order = F.struct((-F.col("joined")).alias("j"), F.xxhash64("rep").alias("h"), "rep", "label", "n")
+        leaders = (4 if turn else 1) * 4 ** max(0, turn - SPLITS)
+        group = F.when(F.col("small"), F.col("rep")).otherwise(F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(leaders)))
         active = slots if turn else slots.filter("early")
         lead = active.groupBy("b", group.alias("c")).agg(F.min(order).alias("lead"))
         lead = scratch.write(lead.select("b", F.col("lead.rep").alias("l_rep"), F.col("lead.label").alias("l_label"), F.col("lead.n").alias("l_n")), "lead")
@@ -209,15 +214,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, wor
             of_u, of_v = labels.select(F.col("rep").alias("u"), F.col("label").alias("lu")), labels.select(F.col("rep").alias("v"), F.col("label").alias("lv"))
             merged = components(scratch, links.join(of_u, "u").join(of_v, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")))
             labels = scratch.write(labels.join(merged, labels.label == merged.node, "left").select("rep", F.coalesce("root", "label").alias("label")), "labels")
-        left = slots.drop("label", "small", "early").join(lead.select("b", F.col("l_rep").alias("rep")), ["b", "rep"], "left_anti").join(labels, "rep")
+            sizes = labels.groupBy("label").agg(F.count("*").alias("joined"))
+            labels = scratch.write(labels.join(sizes, "label").select("rep", "label", "joined"), "labels")
+        left = slots.drop("label", "small", "early", "joined").join(lead.select("b", F.col("l_rep").alias("rep")), ["b", "rep"], "left_anti").join(labels, "rep")
         open_ = left.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.count("*") <= SMALL).alias("small")).filter("lo < hi").select("b", "small")
-        left = scratch.write(left.join(open_, "b").select("rep", "n", "b", "label", "small"), "slots")
+        left = scratch.write(left.join(open_, "b").select("rep", "n", "b", "label", "small", "joined"), "slots")
         scratch.drop(slots, lead, pairs)
         turn += 1
-        if 1 < turn <= SPLITS:
-            large = left.filter("not small").join(regs, "rep").withColumn("b", F.explode(split_bands("b", "regs"))).select("rep", "n", "b", "label", "small")
+        if STARS <= turn <= SPLITS:
+            large = left.filter("not small").join(regs, "rep").withColumn("b", F.explode(split_bands("b", "regs"))).select("rep", "n", "b", "label", "small", "joined")
             parts = large.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.count("*") <= SMALL).alias("small")).filter("lo < hi").select("b", "small")
-            slots = scratch.write(large.drop("small").join(parts, "b").select("rep", "n", "b", "label", "small").union(left.filter("small")), "slots")
+            slots = scratch.write(large.drop("small").join(parts, "b").select("rep", "n", "b", "label", "small", "joined").union(left.filter("small")), "slots")
             scratch.drop(left)
         else:
             slots = left
