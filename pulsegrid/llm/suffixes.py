@@ -6,8 +6,11 @@ hold one, so two documents that share a passage of 50 words both retain a suffix
 it that begins with the same 25 words. The retained suffixes are sorted by that
 beginning, document and position, over ranges that split even a very common one, and
 each is compared with its neighbours: the nearest suffixes of ``NEAREST`` earlier
-documents and the first of its group. A match is extended left and right on the full texts; runs of at
-least 50 equal words count.
+documents and the first of its group. That is every earlier suffix of a small group. A
+larger one is dealt anew by whole 50-word sequences: each sequence of its documents
+whose minimiser is the common beginning is compared with the first holder of the same 50
+words, so none that an earlier document holds is missed. A match is extended left and
+right on the full texts; runs of at least 50 equal words count.
 """
 
 from __future__ import annotations
@@ -29,32 +32,57 @@ WINDOW = LEAST - GRAM + 1
 NEAREST = 4
 
 
-def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the minimisers of one document's words.
-
-    Of a run of equal ones, as in a text of one repeated word, one in each window and the last stay.
-    """
+def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of LEAST words the position of its minimiser, and the hashes of all grams; at least LEAST words."""
     n = len(hashes)
-    if n < LEAST:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams = np.zeros(n - GRAM + 1, np.uint64)
     for j in range(GRAM):
         grams += hashes[j : n - GRAM + 1 + j] * SLOTS[j]
     grams = mix(grams)
-    at = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(1) + np.arange(len(grams) - WINDOW + 1)
+    return np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(1) + np.arange(len(grams) - WINDOW + 1), grams
+
+
+def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the minimisers of one document's words, and whether others were left out after them.
+
+    Of a run of equal ones, as in a text of one repeated word, one in each window and the last stay.
+    """
+    if len(hashes) < LEAST:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    at, grams = minimisers(hashes)
     at = at[np.flatnonzero(np.diff(at, prepend=-1))]
     key = grams[at]
+    more = np.zeros(len(at), bool)
     if (key[1:] == key[:-1]).any():
         keep, last = np.ones(len(at), bool), 0
         for i in range(1, len(at)):
             if key[i] != key[i - 1]:
                 last = i
             elif at[i] - at[last] < WINDOW and i + 1 < len(at) and key[i + 1] == key[i]:
-                keep[i] = False
+                keep[i], more[last] = False, True
             else:
                 last = i
-        at, key = at[keep], key[keep]
-    return at, key
+        at, key, more = at[keep], key[keep], more[keep]
+    return at, key, more
+
+
+def sequences(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first words of one document's runs of LEAST words whose minimiser is in ``wanted``.
+
+    Of equal runs that overlap or touch, those stay that cover the same words.
+    """
+    at, grams = minimisers(hashes)
+    start = np.flatnonzero(np.isin(grams[at], wanted))
+    run = mix(grams[start] * SLOTS[0] + grams[start + LEAST - GRAM] * SLOTS[1])
+    order = np.argsort(run, kind="stable")
+    start, run = start[order], run[order]
+    keep, last = np.ones(len(run), bool), 0
+    for i in np.flatnonzero((run[1:-1] == run[:-2]) & (run[1:-1] == run[2:])) + 1:
+        if run[last] != run[i] or keep[i - 1]:
+            last = i - 1
+        if start[i + 1] - start[last] <= LEAST:
+            keep[i] = False
+    return run[keep], start[keep]
 
 
 def anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,49 +90,104 @@ def anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for at, to, data, offs in chunks(batch, "text"):
             words = Words(data, offs)
-            docs, places, keys = [], [], []
+            docs, places, keys, mores = [], [], [], []
             for d in range(to - at):
-                place, key = anchors(words.hash[words.first[d] : words.first[d + 1]])
+                place, key, more = anchors(words.hash[words.first[d] : words.first[d + 1]])
                 docs.append(np.full(len(place), ids[at + d]))
                 places.append(place)
                 keys.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(docs).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], names=["gram", "doc_id", "pos"])
+                mores.append(more)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(docs).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(mores))], names=["gram", "doc_id", "pos", "more"])
 
 
 def neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, shift) of a suffix with the first and last suffix of each neighbouring earlier document.
 
-    Edge rows of the partition have shift null.
-
-    The edges are the first suffix and the last of the partition, as (a = doc_id, b = pos, gram).
+    Groups in which that may leave out a pair have a row (gram, a = doc_id) for each document besides,
+    with shift null: those of more documents, with a document that holds the gram more than twice, and
+    the first and last of the partition, which may go on in another one.
     """
-    gram = first = last = None
+    gram = first = last = held = None
     before: list[tuple[int, int, int]] = []
-    head = tail = None
+    docs = times = many = 0
+
+    def rows(a, b, shift, heavy):
+        none = pa.nulls(len(heavy), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shift, pa.int32())], names=["gram", "a", "b", "shift"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in heavy], pa.int64()), pa.array([x[1] for x in heavy], pa.int64()), none, none.cast(pa.int32())], names=["gram", "a", "b", "shift"])
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b, shift = [], [], []
-        for g, d, p in zip(*(batch.column(c).to_numpy().tolist() for c in ("gram", "doc_id", "pos"))):
+        a, b, shift, heavy = [], [], [], []
+        for g, d, p, more in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("gram", "doc_id", "pos", "more"))):
+            new = True
             if g != gram:
+                held = None if gram is None else []
                 gram, first, before, last = g, None, [], (d, p, p)
+                docs, times, many = 1, 1, False
             elif d != last[0]:
                 first = first or last
                 before, last = [*before[1 - NEAREST :], last], (d, p, p)
+                docs, times = docs + 1, 1
             else:
                 last = (d, last[1], p)
+                times, new = times + 1, False
+            many = many or more or times > 2
+            if new:
+                (heavy if held is None else held).append((g, d))
+            if held is not None and (docs > NEAREST + 2 or many and docs > 1):
+                heavy += held
+                held = None
             if first:
                 for doc, low, high in before if first[0] == before[0][0] else [first, *before]:
                     for pos in (low, high) if low < high else (low,):
                         a.append(doc)
                         b.append(d)
                         shift.append(p - pos)
-            head = head or (g, d, p)
-            tail = (g, d, p)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shift, pa.int32())], names=["gram", "a", "b", "shift"])
-    if head:
-        rows = [head, tail]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.nulls(2, pa.int32())], names=["gram", "a", "b", "shift"])
+        yield from rows(a, b, shift, heavy)
+    yield from rows([], [], [], held or [])
+
+
+def sequence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of LEAST words of each text whose minimiser is one of its ``grams``."""
+    for batch in batches:
+        ids, grams = batch.column("doc_id").to_numpy(), batch.column("grams")
+        for at, to, data, offs in chunks(batch, "text"):
+            words = Words(data, offs)
+            docs, runs, starts = [], [], []
+            for d in range(to - at):
+                run, start = sequences(words.hash[words.first[d] : words.first[d + 1]], grams[at + d].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                docs.append(np.full(len(run), ids[at + d]))
+                runs.append(run)
+                starts.append(start)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(runs))), pa.array(np.concatenate(docs).astype(np.int64)), pa.array(np.concatenate(starts).astype(np.int32))], names=["run", "doc_id", "pos"])
+
+
+def holder_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, shift) of each run of words with the first of its group.
+
+    The partition's first group may have begun in an earlier one, so its rows are handed on as
+    (run, a = doc_id, b = pos) with shift null, and so is the first row of the last group.
+    """
+    head = held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        run, doc, pos = (batch.column(c).to_numpy() for c in ("run", "doc_id", "pos"))
+        head = run[0] if head is None else head
+        at = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(run))))
+        f_doc, f_pos = doc[at], pos[at]
+        if held and held[0] == run[0]:
+            f_doc, f_pos = f_doc.copy(), f_pos.copy()
+            f_doc[0], f_pos[0] = held[1:]
+        held = (run[-1], f_doc[-1], f_pos[-1])
+        edge = run == head
+        later = (doc > f_doc[of]) & ~edge
+        n = int(later.sum())
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(f_doc[of][later]), pa.array(doc[later]), pa.array((pos - f_pos[of])[later].astype(np.int32))], names=["run", "a", "b", "shift"])
+        yield pa.RecordBatch.from_arrays([pa.array(run[edge]), pa.array(doc[edge]), pa.array(pos[edge].astype(np.int64)), pa.nulls(int(edge.sum()), pa.int32())], names=["run", "a", "b", "shift"])
+    if held:
+        yield pa.RecordBatch.from_arrays([*(pa.array([int(x)], pa.int64()) for x in held), pa.nulls(1, pa.int32())], names=["run", "a", "b", "shift"])
 
 
 def extend_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,25 +236,32 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, scratch: Scratch | N
     and bytes of doc_id's text, ends exclusive. Words are runs of bytes other than space
     and 0x09-0x0D and compared exactly. ``docs`` needs distinct doc_id and text; other
     columns are ignored. Of a passage in many documents each later one has rows with its
-    nearest earlier holders and with the first. Null, empty and shorter texts have no
+    nearest earlier holders and with the first, and every word that is in a passage of 50
+    words which an earlier document holds is in some row. Null, empty and shorter texts have no
     rows, nor has a repetition inside one document. An empty table gives an empty result.
     """
     scratch = scratch or Scratch(spark, "suffixes")
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    kept = scratch.write(docs.mapInArrow(anchor_batches, "gram long, doc_id long, pos int"), "suffixes")
+    kept = scratch.write(docs.mapInArrow(anchor_batches, "gram long, doc_id long, pos int, more boolean"), "suffixes")
     order = ["gram", "doc_id", "pos"]
     near = kept.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbour_batches, "gram long, a long, b long, shift int")
     near = scratch.write(near, "neighbours")
     scratch.drop(kept)
-    edges = near.filter("shift is null").select("gram", F.col("a").alias("doc"), F.col("b").alias("pos")).distinct()
-    # a group over several partitions: its edge suffixes, two for each partition at most, join its first one
-    lead = edges.groupBy("gram").agg(F.min(F.struct("doc", "pos")).alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = edges.join(lead, "gram").filter("doc > f.doc").select(F.col("f.doc").alias("a"), F.col("doc").alias("b"), (F.col("pos") - F.col("f.pos")).cast("int").alias("shift"))
-    pairs = near.filter("shift is not null").select("a", "b", "shift").union(joined)
+    needed = near.select(F.col("a").alias("doc_id"), "gram").union(near.filter("b is not null").select("b", "gram"))
+    needed = needed.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
+    texts = scratch.write(docs.join(needed, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    order = ["run", "doc_id", "pos"]
+    runs = scratch.write(texts.filter("size(grams) > 0").mapInArrow(sequence_batches, "run long, doc_id long, pos int"), "runs")
+    held = runs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(holder_batches, "run long, a long, b long, shift int")
+    held = scratch.write(held, "holders")
+    scratch.drop(runs)
+    edges = held.filter("shift is null").select("run", F.col("a").alias("doc"), F.col("b").alias("pos"))
+    # at most two runs of each partition
+    lead = F.broadcast(edges.groupBy("run").agg(F.min(F.struct("doc", "pos")).alias("f")))
+    joined = edges.join(lead, "run").filter("doc > f.doc").select(F.col("f.doc").alias("a"), F.col("doc").alias("b"), (F.col("pos") - F.col("f.pos")).cast("int").alias("shift"))
+    pairs = near.select("a", "b", "shift").union(held.select("a", "b", "shift")).filter("shift is not null").union(joined)
     pairs = scratch.write(pairs.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")), "pairs")
-    scratch.drop(near)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = scratch.write(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    scratch.drop(near, held)
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
     found = both.select("a", "b", "shifts", "a_text", "b_text").mapInArrow(extend_batches, "doc_id long, earlier_doc_id long, start_word long, end_word long, start_byte long, end_byte long")
     found = scratch.write(found, "passages")

@@ -198,6 +198,26 @@ def test_suffixes(spark, docs, none, texts):
         assert brute.WORD.findall(cut[i] or "") == left and (want[i] or cut[i] == t)
 
 
+def test_suffixes_frequent_line(spark):
+    """A line of 45 words in all documents; pairs far apart share 10 more words, on either side or split over both, or a line held many times."""
+    rng = random.Random(5)
+    line = words(rng, 45)
+    more = [words(rng, 10) for _ in range(30)]
+    rows = []
+    for i in range(60):
+        k = min(i, 59 - i)
+        left, right = (more[k], []) if k % 3 == 0 else ([], more[k]) if k % 3 == 1 else (more[k][:5], more[k][5:])
+        rows.append((i, " ".join([*words(rng, 30, 10**6), *left, *line, *right, *words(rng, 30, 10**6)])))
+    often = words(rng, 26)
+    rows += [(60 + j, " ".join(w for k in range(5) for w in [*words(rng, 40, 10**6), *often, *(more[0] + more[1] + more[2] + more[3] if k == 2 + j else [])])) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {i: set() for i, _ in rows}
+    for r in suffixes.repeated_passages(spark, df.repartition(3)).collect():
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    assert got == brute.repeated_words(rows)
+    assert sum(map(bool, got.values())) >= 31
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_ngrams(spark, docs, none, texts, order, monkeypatch):
     monkeypatch.setattr(ngrams, "BLOCK_BYTES", 3000)
