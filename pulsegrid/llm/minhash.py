@@ -10,11 +10,9 @@ Equal sets are collapsed first, so a group of copies counts as one member. Insid
 band's bucket of more than ``SMALL`` members, pairs are not enumerated: in each round the
 members are compared with a few leaders, of the largest components found so far; those
 already in one component need no comparison, and the leaders, compared with all others,
-leave. What stays open after ``STARS`` rounds is dealt anew: each member gets four further
-bands of eight registers within its bucket. A pair at the threshold shares about as
-many buckets after that as before, while pairs that only share a common passage part.
-After ``SPLITS`` rounds the number of leaders grows fourfold each round instead, so
-that every bucket ends, whatever is in it.
+leave. After ``STARS`` rounds the number of leaders grows fourfold each round, so that
+every bucket ends, whatever is in it, with every pair of its members compared or in one
+component.
 """
 
 from __future__ import annotations
@@ -40,9 +38,8 @@ BAND, BANDS = 6, 40
 EARLY = 7
 """One in so many buckets is compared first, so that groups of close copies are one component before the rest is."""
 SMALL = 8
-SUB_BAND, SUB_BANDS = 8, 4
-STARS, SPLITS = 4, 9
-"""Rounds with leaders only, and those up to which open buckets are dealt anew."""
+STARS = 4
+"""Rounds with few leaders."""
 SLACK = 0.14
 """Pairs estimated more than this below the threshold are dropped: over 4.4 standard errors of 128 registers at 0.85."""
 
@@ -86,22 +83,6 @@ def bands(regs: np.ndarray) -> list[np.ndarray]:
     return [k[h] for k, h in zip(keys, held, strict=True)]
 
 
-def sub_bands(bucket: np.ndarray, regs: np.ndarray) -> list[np.ndarray]:
-    """For each row SUB_BANDS keys that hold a shingle, of registers drawn by its bucket."""
-    out, held = [], []
-    at = np.arange(len(regs))
-    for j in range(SUB_BANDS):
-        key, any_ = mix(bucket + U(j + 1)), np.zeros(len(regs), bool)
-        for i in range(SUB_BAND):
-            value = regs[at, (mix(bucket + U(1000 + j * SUB_BAND + i)) % U(BUCKETS)).astype(np.int64)]
-            key = mix(key + value)
-            any_ |= value != 0
-        out.append(key)
-        held.append(any_)
-    keys, held = np.stack(out, 1), np.stack(held, 1)
-    return [k[h] for k, h in zip(keys, held, strict=True)]
-
-
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Jaccard similarity from registers, less the matches that different shingles are expected to make."""
     same = ((a == b) & (a != 0)).sum(1)
@@ -146,11 +127,6 @@ def set_batches(k: int):
     return run
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def split_bands(bucket: pd.Series, regs: pd.Series) -> pd.Series:
-    return pd.Series([signed(x) for x in sub_bands(bucket.to_numpy().view(np.uint64), np.frombuffer(b"".join(regs), np.uint16).reshape(-1, BUCKETS))])
-
-
 @F.pandas_udf(T.DoubleType())
 def estimated(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
     def rows(s):
@@ -187,7 +163,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, wor
     slots = slots.withColumn("joined", F.lit(1).cast("long"))
     while not slots.isEmpty():
         order = F.struct((-F.col("joined")).alias("j"), F.xxhash64("rep").alias("h"), "rep", "label", "n")
-        leaders = (4 if turn else 1) * 4 ** max(0, turn - SPLITS)
+        leaders = (4 if turn else 1) * 4 ** max(0, turn + 1 - STARS)
         group = F.when(F.col("small"), F.col("rep")).otherwise(F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(leaders)))
         active = slots if turn else slots.filter("early")
         lead = active.groupBy("b", group.alias("c")).agg(F.min(order).alias("lead"))
@@ -220,14 +196,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, wor
         open_ = left.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.count("*") <= SMALL).alias("small")).filter("lo < hi").select("b", "small")
         left = scratch.write(left.join(open_, "b").select("rep", "n", "b", "label", "small", "joined"), "slots")
         scratch.drop(slots, lead, pairs)
+        slots = left
         turn += 1
-        if STARS <= turn <= SPLITS:
-            large = left.filter("not small").join(regs, "rep").withColumn("b", F.explode(split_bands("b", "regs"))).select("rep", "n", "b", "label", "small", "joined")
-            parts = large.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.count("*") <= SMALL).alias("small")).filter("lo < hi").select("b", "small")
-            slots = scratch.write(large.drop("small").join(parts, "b").select("rep", "n", "b", "label", "small", "joined").union(left.filter("small")), "slots")
-            scratch.drop(left)
-        else:
-            slots = left
     scratch.drop(sets, regs)
     found = members.join(labels, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -75,6 +75,35 @@ def test_minhash_chain_and_split(spark, monkeypatch):
     assert got == brute.near_duplicates(rows)
 
 
+def test_minhash_compares_all_of_a_large_bucket(spark, monkeypatch):
+    """Each two documents of a bucket are compared or end in one component, however many do not link."""
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    rng = random.Random(8)
+    template, rows = words(rng, 200), []
+    for i in range(150):
+        copy = list(template)
+        for at in rng.sample(range(200), 3):
+            copy[at] = f"x{i}.{at}"
+        rows.append((i, " ".join(copy)))
+    write, buckets, compared = Scratch.write, {}, set()
+
+    def watch(self, df, name="t"):
+        back = write(self, df, name)
+        if name == "slots" and not buckets:
+            for r in back.select("b", "rep").collect():
+                buckets.setdefault(r.b, []).append(r.rep)
+        if name == "pairs":
+            compared.update((r.u, r.v) for r in back.collect())
+        return back
+
+    monkeypatch.setattr(Scratch, "write", watch)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark, df, percent=85).collect()}
+    assert got == brute.near_duplicates(rows) and max(map(len, buckets.values())) > 20
+    met = {(a, b) for x in buckets.values() for a in x for b in x if a < b and got[a][1] != got[b][1] and 100 * min(got[a][0], got[b][0]) >= 85 * max(got[a][0], got[b][0])}
+    assert met <= compared
+
+
 def test_estimate():
     rng = np.random.default_rng(3)
     for share in (0.2, 0.6, 0.9):
