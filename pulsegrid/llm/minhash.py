@@ -34,14 +34,15 @@ from pulsegrid.runtime import Scratch
 BUCKET_BITS = 7
 MANTISSA = 10
 BUCKETS = 1 << BUCKET_BITS
-BAND, BANDS = 6, 40
+BAND, BANDS, MORE_BANDS = 6, 40, 60
+"""Registers in a band, and bands for thresholds from 85 % and for lower ones."""
 EARLY = 7
 """One in so many buckets is compared first, so that groups of close copies are one component before the rest is."""
 SMALL = 8
 STARS = 4
 """Rounds with few leaders."""
-SLACK = 0.14
-"""Pairs estimated more than this below the threshold are dropped: over 4.4 standard errors of 128 registers at 0.85."""
+ERRORS = 4.44
+"""Pairs estimated more than this many standard errors of the registers below the threshold are dropped."""
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -67,19 +68,20 @@ def band_registers() -> np.ndarray:
     """The registers of each band, from permutations in turn, so that every register is in several bands."""
     rng = np.random.default_rng(20240302)
     whole = BUCKETS // BAND
-    drawn = [rng.permutation(BUCKETS)[: whole * BAND].reshape(whole, BAND) for _ in range(-(-BANDS // whole))]
-    return np.concatenate(drawn)[:BANDS]
+    drawn = [rng.permutation(BUCKETS)[: whole * BAND].reshape(whole, BAND) for _ in range(-(-MORE_BANDS // whole))]
+    return np.concatenate(drawn)[:MORE_BANDS]
 
 
 REGISTERS = band_registers()
 
 
-def bands(regs: np.ndarray) -> list[np.ndarray]:
-    """The hashes of each row's bands that hold a shingle."""
-    keys = np.zeros((len(regs), BANDS), np.uint64) + mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+def bands(regs: np.ndarray, number: int) -> list[np.ndarray]:
+    """The hashes of each row's first ``number`` bands that hold a shingle."""
+    chosen = REGISTERS[:number]
+    keys = np.zeros((len(regs), number), np.uint64) + mix(np.arange(1, number + 1, dtype=np.uint64))
     for i in range(BAND):
-        keys = mix(keys + regs[:, REGISTERS[:, i]])
-    held = (regs[:, REGISTERS] != 0).any(2)
+        keys = mix(keys + regs[:, chosen[:, i]])
+    held = (regs[:, chosen] != 0).any(2)
     return [k[h] for k, h in zip(keys, held, strict=True)]
 
 
@@ -95,7 +97,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (same - expected) / np.maximum(used, 1)
 
 
-def sketch_batches(k: int):
+def sketch_batches(k: int, number: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offs in chunks(batch, "text"):
@@ -109,7 +111,7 @@ def sketch_batches(k: int):
                         pa.array(digest[:, 0]),
                         pa.array(digest[:, 1]),
                         pa.array([r.tobytes() for r in regs], pa.binary()),
-                        long_lists(bands(regs)),
+                        long_lists(bands(regs, number)),
                     ],
                     names=["doc_id", "n", "d1", "d2", "regs", "bands"],
                 )
@@ -135,7 +137,7 @@ def estimated(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.
     return pd.Series(estimate(rows(ra), rows(rb), na.to_numpy(), nb.to_numpy()))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     ``docs`` needs doc_id and text; other columns, whatever their names, are ignored.
@@ -145,8 +147,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, wor
     one doc_id stay repeated rows of the result. An empty table gives an empty result.
     """
     scratch = Scratch(spark, "minhash")
+    slack = ERRORS * (percent * (100 - percent) / BUCKETS) ** 0.5 / 100
     docs = docs.select("doc_id", "text")
-    sketch = scratch.write(docs.mapInArrow(sketch_batches(words), "doc_id long, n long, d1 long, d2 long, regs binary, bands array<long>"), "sketch")
+    sketch = scratch.write(docs.mapInArrow(sketch_batches(words, BANDS if percent >= 85 else MORE_BANDS), "doc_id long, n long, d1 long, d2 long, regs binary, bands array<long>"), "sketch")
     classes = sketch.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     members = scratch.write(sketch.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
     reps = sketch.join(members.filter("doc_id = rep and n > 0").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -180,7 +183,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, wor
             pairs.join(regs.select(F.col("rep").alias("u"), F.col("regs").alias("ru")), "u")
             .join(regs.select(F.col("rep").alias("v"), F.col("regs").alias("rv")), "v")
             .withColumn("e", estimated("ru", "rv", "nu", "nv"))
-            .filter(F.col("e") >= percent / 100 - SLACK)
+            .filter(F.col("e") >= percent / 100 - slack)
             .select("u", "v", "nu", "nv")
         )
         both = likely.join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("sv")), "v").join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("su")), "u")

@@ -31,7 +31,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), percent=85)
 
 
 def op2_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:

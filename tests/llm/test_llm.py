@@ -355,3 +355,18 @@ def test_pipeline(spark, docs):
     empty = spark.createDataFrame([], T.StructType(base.schema.fields))
     for _, stage in c.STAGES[1:]:
         assert stage(spark, empty, "/nowhere").count() == 0
+
+
+def test_pipeline_near_copies_from_80_percent(spark):
+    import corpus_pipeline as c
+
+    rng, rows = random.Random(4), []
+    for i in range(20):
+        base = words(rng, 200)
+        copy = list(base)
+        for at in (20, 70, 120, 170):
+            copy[at] = f"x{i}.{at}"  # 176 of 216 shingles are shared
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.near_duplicates(rows, percent=80)
+    assert {r.doc_id for r in c.near(spark, df, "/nowhere").collect()} == {root for _, root in want.values()} == set(range(0, 40, 2))
