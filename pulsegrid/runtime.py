@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -36,14 +37,34 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset.
+
+    Our own is a temporary folder only where the executors are threads of this process;
+    on a cluster it lies in the warehouse, which all machines reach.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
-        given = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        given = "file://" + tempfile.mkdtemp(prefix="pulsegrid-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.pulsegrid"
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
 
 
+_held: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def release() -> None:
+    """Delete all scratch tables; done at exit where the session still runs. Results that read them must be used before."""
+    while _held:
+        spark, base = _held.pop()
+        try:
+            if spark.sparkContext._jsc is not None:
+                delete(spark, base)
+        except Exception:
+            return  # the JVM is gone
+
+
 class Scratch:
     """Intermediate tables written to the shared folder, which also cuts their lineage."""
 
@@ -51,6 +72,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/pulsegrid-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        _held.append((spark, self.base))
         importable(spark)
 
     def path(self, name: str = "t") -> str:
