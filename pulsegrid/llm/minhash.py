@@ -2,17 +2,18 @@
 
 A document's shingles are dealt over 128 buckets by the top hash bits; each bucket
 keeps its smallest remainder as a 16-bit register, 6 bits of leading-zero count and
-10 bits of mantissa. Six registers make a band, and equal bands propose pairs. A
+10 bits of mantissa. Five registers make a band, and equal bands propose pairs. A
 collision-corrected estimate from the registers drops most false proposals, and the
 rest are confirmed on the full shingle sets.
 
-Equal sets are collapsed first, so a group of copies counts as one member. Inside a
-band's bucket of more than ``SMALL`` members, pairs are not enumerated: in each round the
-members are compared with a few leaders, of the largest components found so far; those
-already in one component need no comparison, and the leaders, compared with all others,
-leave. After ``STARS`` rounds the number of leaders grows fourfold each round, so that
-every bucket ends, whatever is in it, with every pair of its members compared or in one
-component.
+Equal sets are collapsed first, so a group of copies counts as one member. The members
+of a band's group are compared by their registers inside one task, in groups of at most
+``BLOCK`` or of short sets that come to ``SHINGLES``; a task hands on only the members that have a likely partner, never pairs. Those
+are compared once more beside their shingle sets, and a task returns links that join
+components, less than one for each member. A larger group is first compared with its
+smallest member, which is linear; those in one component with the most of the group then
+need no comparison among themselves, and the rest are dealt in pairs of blocks, so that
+every two members of different components meet.
 """
 
 from __future__ import annotations
@@ -21,26 +22,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from pulsegrid.llm.batches import groups_of
 from pulsegrid.llm.graph import components
-from pulsegrid.llm.text import U, Words, chunks, long_lists, mix, signed
+from pulsegrid.llm.text import U, Words, chunks, long_lists, mix
 from pulsegrid.runtime import Scratch
 
 BUCKET_BITS = 7
 MANTISSA = 10
 BUCKETS = 1 << BUCKET_BITS
-BAND, BANDS, MORE_BANDS = 6, 40, 60
-"""Registers in a band, and bands for thresholds from 85 % and for lower ones."""
-EARLY = 7
-"""One in so many buckets is compared first, so that groups of close copies are one component before the rest is."""
-SMALL = 8
-STARS = 4
-"""Rounds with few leaders."""
+BAND, MISS = 5, 8e-6
+"""Registers in a band, and the chance that a pair at the threshold shares no band."""
+BLOCK, SHINGLES = 1024, 1 << 22
+"""Members, and shingles of theirs, compared in one task at a time, or in pairs of blocks of about as many."""
 ERRORS = 4.44
 """Pairs estimated more than this many standard errors of the registers below the threshold are dropped."""
 
@@ -64,25 +61,31 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_registers() -> np.ndarray:
-    """The registers of each band, from permutations in turn, so that every register is in several bands."""
-    rng = np.random.default_rng(20240302)
-    whole = BUCKETS // BAND
-    drawn = [rng.permutation(BUCKETS)[: whole * BAND].reshape(whole, BAND) for _ in range(-(-MORE_BANDS // whole))]
-    return np.concatenate(drawn)[:MORE_BANDS]
+def bands_needed(percent: int) -> int:
+    """Bands after which a pair of ``percent`` similarity shares one with probability 1 - MISS."""
+    return int(np.ceil(np.log(MISS) / np.log1p(-((percent / 100) ** BAND)))) if percent < 100 else 1
 
 
-REGISTERS = band_registers()
+def band_registers(number: int) -> np.ndarray:
+    """The registers of each band, from permutations in turn, so that every register is in as many bands as another."""
+    rng = np.random.default_rng(20240302)
+    whole = BUCKETS // BAND
+    drawn = [rng.permutation(BUCKETS)[: whole * BAND].reshape(whole, BAND) for _ in range(-(-number // whole))]
+    return np.concatenate(drawn)[:number]
 
 
-def bands(regs: np.ndarray, number: int) -> list[np.ndarray]:
-    """The hashes of each row's first ``number`` bands that hold a shingle."""
-    chosen = REGISTERS[:number]
+def bands(regs: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each row and band, and whether the band holds a shingle."""
+    chosen = band_registers(number)
     keys = np.zeros((len(regs), number), np.uint64) + mix(np.arange(1, number + 1, dtype=np.uint64))
     for i in range(BAND):
         keys = mix(keys + regs[:, chosen[:, i]])
-    held = (regs[:, chosen] != 0).any(2)
-    return [k[h] for k, h in zip(keys, held, strict=True)]
+    return keys, (regs[:, chosen] != 0).any(2)
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of equal ones among the registers that either row uses."""
+    return ((a == b) & (a != 0)).sum(1) / np.maximum(((a | b) != 0).sum(1), 1)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -97,110 +100,217 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (same - expected) / np.maximum(used, 1)
 
 
+def rows_of(column: pa.ChunkedArray) -> np.ndarray:
+    """Registers of a binary column, one row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
+
+
+def digest_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def sketch_batches(k: int, number: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offs in chunks(batch, "text"):
                 sets = list(Words(data, offs, lower=True).shingles(k))
                 regs = registers(sets)
-                digest = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(at, to - at),
-                        pa.array([len(x) for x in sets], pa.int64()),
-                        pa.array(digest[:, 0]),
-                        pa.array(digest[:, 1]),
-                        pa.array([r.tobytes() for r in regs], pa.binary()),
-                        long_lists(bands(regs, number)),
-                    ],
-                    names=["doc_id", "n", "d1", "d2", "regs", "bands"],
-                )
+                keys, held = bands(regs, number)
+                digest = np.frombuffer(b"".join(map(digest_of, sets)), np.int64).reshape(-1, 2)
+                columns = [batch.column(c).slice(at, to - at) for c in ("uid", "doc_id")]
+                columns += [pa.array([len(x) for x in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([r.tobytes() for r in regs], pa.binary()), long_lists([x[h] for x, h in zip(keys, held, strict=True)])]
+                yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "n", "d1", "d2", "regs", "bands"])
 
     return run
 
 
 def set_batches(k: int):
+    """Digest and shingles of each text; of equal sets in a task one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            for at, to, data, offs in chunks(batch, "text"):
-                sets = list(Words(data, offs, lower=True).shingles(k))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), long_lists(sets)], names=["rep", "shingles"])
+            for _, _, data, offs in chunks(batch, "text"):
+                fresh = []
+                for x in Words(data, offs, lower=True).shingles(k):
+                    if (key := digest_of(x)) not in seen:
+                        seen.add(key)
+                        fresh.append((key, x))
+                digest = np.frombuffer(b"".join(f[0] for f in fresh), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), long_lists([f[1] for f in fresh])], names=["d1", "d2", "shingles"])
 
     return run
 
 
-@F.pandas_udf(T.DoubleType())
-def estimated(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-    def rows(s):
-        return np.frombuffer(b"".join(s), np.uint16).reshape(-1, BUCKETS)
+class Block:
+    """Members of one or more groups, in order of group, and what a comparison needs of them."""
+
+    def __init__(self, table: pa.Table, percent: int, number: int):
+        self.rep, self.n, self.label, self.side = (table.column(c).to_numpy() for c in ("rep", "n", "label", "side"))
+        keys = [table.column(c).to_numpy() for c in ("b", "i", "j")]
+        change = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        starts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(self.rep)]])
+        self.end = np.repeat(starts[1:], np.diff(starts))
+        self.b, self.across = keys[0], keys[1] != keys[2]
+        self.regs = rows_of(table.column("regs"))
+        self.keys, self.held = bands(self.regs, number)
+        self.percent = percent
+        self.least = percent / 100 - ERRORS * (percent * (100 - percent) / BUCKETS) ** 0.5 / 100
+
+    def likely(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of members of a group that may link: of unlike labels and fit sizes, likely by their registers.
 
-    return pd.Series(estimate(rows(ra), rows(rb), na.to_numpy(), nb.to_numpy()))
+        A pair comes up in the first band only that it shares, and in the pair of blocks of its sides.
+        """
+        for step in range(1, int((self.end - np.arange(len(self.end))).max(initial=1))):
+            a = np.flatnonzero(np.arange(len(self.end)) + step < self.end)
+            c = a + step
+            n, m = self.n[a], self.n[c]
+            fit = (self.label[a] != self.label[c]) & (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & (~self.across[a] | (self.side[a] != self.side[c]))
+            a, c = a[fit], c[fit]
+            for x, y in zip(np.array_split(a, len(a) // 4096 + 1), np.array_split(c, len(a) // 4096 + 1)):
+                good = agreeing(self.regs[x], self.regs[y]) >= self.least
+                x, y = x[good], y[good]
+                shared = (self.keys[x] == self.keys[y]) & self.held[x] & self.held[y]
+                good = self.keys[x, shared.argmax(1)] == self.b[x].view(np.uint64)
+                x, y = x[good], y[good]
+                good = estimate(self.regs[x], self.regs[y], self.n[x], self.n[y]) >= self.least
+                yield x[good], y[good]
+
+
+def hopeful_batches(percent: int, number: int):
+    """The members that have a likely partner in their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, ["b", "i", "j"]):
+            good = np.zeros(table.num_rows, bool)
+            for x, y in Block(table, percent, number).likely():
+                good[x] = good[y] = True
+            yield from table.select(["b", "i", "j", "side", "rep"]).filter(pa.array(good)).combine_chunks().to_batches()
+
+    return run
+
+
+def link_batches(percent: int, number: int):
+    """Links between members of unlike labels, of which none joins what earlier ones of the group join already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, ["b", "i", "j"]):
+            block = Block(table, percent, number)
+            found = list(block.likely())
+            x, y = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            lists = table.column("shingles").combine_chunks()
+            offs, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            _, root = np.unique(block.label, return_inverse=True)
+            us, vs = [], []
+            order = np.argsort(x, kind="stable")
+            x, y = x[order], y[order]
+            for at in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1):
+                if not len(at):
+                    continue
+                a = x[at[0]]
+                mine = flat[offs[a] : offs[a + 1]]
+                for c in y[at]:
+                    if root[a] == root[c]:
+                        continue
+                    theirs = flat[offs[c] : offs[c + 1]]
+                    both = np.searchsorted(mine, theirs)
+                    same = int((mine[np.minimum(both, len(mine) - 1)] == theirs).sum())
+                    if 100 * same >= percent * (len(mine) + len(theirs) - same):
+                        us.append(block.rep[a])
+                        vs.append(block.rep[c])
+                        root[root == root[c]] = root[a]
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def star_batches(percent: int):
+    """Rows (u, v) of a member and its leader that may link, by their registers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = percent / 100 - ERRORS * (percent * (100 - percent) / BUCKETS) ** 0.5 / 100
+        for batch in batches:
+            n, m = batch.column("nu").to_numpy(), batch.column("nv").to_numpy()
+            good = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            good &= estimate(rows_of(batch.column("ru")), rows_of(batch.column("rv")), n, m) >= least
+            yield batch.select(["u", "v"]).filter(pa.array(good))
+
+    return run
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     ``docs`` needs doc_id and text; other columns, whatever their names, are ignored.
     Links need 100 * intersection >= ``percent`` * union of distinct ``words``-word
     shingles, words lower-cased in A-Z. A text of fewer words is one shingle; a null,
-    empty or blank text has none, links with nothing and is kept. Repeated rows of
-    one doc_id stay repeated rows of the result. An empty table gives an empty result.
+    empty or blank text has none, links with nothing and is kept. component_id is the
+    smallest doc_id of the component. Rows of one doc_id are documents of their own, each
+    kept if the id is the component's; a row without doc_id links like others and is kept
+    only if no row of its component has one. An empty table gives an empty result.
     """
-    scratch = Scratch(spark, "minhash")
-    slack = ERRORS * (percent * (100 - percent) / BUCKETS) ** 0.5 / 100
-    docs = docs.select("doc_id", "text")
-    sketch = scratch.write(docs.mapInArrow(sketch_batches(words, BANDS if percent >= 85 else MORE_BANDS), "doc_id long, n long, d1 long, d2 long, regs binary, bands array<long>"), "sketch")
-    classes = sketch.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    members = scratch.write(sketch.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    reps = sketch.join(members.filter("doc_id = rep and n > 0").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    slots = reps.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("b"))
-    shared = slots.groupBy("b").agg(F.count("*").alias("size")).filter("size > 1").select("b", (F.col("size") <= SMALL).alias("small"))
-    slots = scratch.write(slots.join(shared, "b").select("rep", "n", "b", F.col("rep").alias("label"), "small", (F.pmod("b", F.lit(EARLY)) == 0).alias("early")), "slots")
-    wanted = scratch.write(slots.select("rep").distinct(), "wanted")
-    regs = scratch.write(sketch.join(wanted, sketch.doc_id == wanted.rep, "left_semi").select(F.col("doc_id").alias("rep"), "regs").dropDuplicates(["rep"]), "regs")
+    scratch, number = Scratch(spark, "minhash"), bands_needed(percent)
+    texts = docs.select("doc_id", "text")
+    numbered = texts.withColumn("uid", F.monotonically_increasing_id())  # fixed by writing the sketch
+    sketch = scratch.write(numbered.mapInArrow(sketch_batches(words, number), "uid long, doc_id long, n long, d1 long, d2 long, regs binary, bands array<long>"), "sketch")
+    same = ["d1", "d2", "n"]
+    classes = sketch.filter("n > 0").groupBy(*same).agg(F.min("uid").alias("rep"), F.min("doc_id").alias("low"))
+    members = scratch.write(sketch.select("uid", "doc_id", *same).join(classes, same, "left").select("uid", "doc_id", *same, F.coalesce("rep", "uid").alias("rep"), F.coalesce("low", "doc_id").alias("low")), "members")
+    reps = members.filter("uid = rep and n > 0").select("rep", "n", "d1", "d2", "low")
+    weight = 1 / F.lit(BLOCK) + F.col("n") / SHINGLES
+    slots = sketch.join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("rep"), weight.alias("weight"), F.explode("bands").alias("b"))
+    groups = slots.groupBy("b").agg(F.count(F.lit(1)).alias("size"), F.sum("weight").alias("total"), F.min("rep").alias("lead")).filter("size > 1")
+    slots = scratch.write(slots.join(groups.select("b", "lead", (F.col("total") > 1).alias("large")), "b"), "slots")
+    known = scratch.write(sketch.select(F.col("uid").alias("rep"), "n", "regs").join(slots.select("rep").distinct(), "rep", "left_semi"), "known")
     scratch.drop(sketch)
-    texts = docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch.write(texts.mapInArrow(set_batches(words), "rep long, shingles array<long>"), "sets")
-
-    labels, turn = wanted.select("rep", F.col("rep").alias("label"), F.lit(1).cast("long").alias("joined")), 0
-    slots = slots.withColumn("joined", F.lit(1).cast("long"))
-    while not slots.isEmpty():
-        order = F.struct((-F.col("joined")).alias("j"), F.xxhash64("rep").alias("h"), "rep", "label", "n")
-        leaders = (4 if turn else 1) * 4 ** max(0, turn + 1 - STARS)
-        group = F.when(F.col("small"), F.col("rep")).otherwise(F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(leaders)))
-        active = slots if turn else slots.filter("early")
-        lead = active.groupBy("b", group.alias("c")).agg(F.min(order).alias("lead"))
-        lead = scratch.write(lead.select("b", F.col("lead.rep").alias("l_rep"), F.col("lead.label").alias("l_label"), F.col("lead.n").alias("l_n")), "lead")
-        near = active.join(lead, "b").filter(f"label <> l_label and 100 * least(n, l_n) >= {percent} * greatest(n, l_n)")
-        pairs = near.select(
-            F.least("rep", "l_rep").alias("u"),
-            F.greatest("rep", "l_rep").alias("v"),
-            F.when(F.col("rep") < F.col("l_rep"), F.col("n")).otherwise(F.col("l_n")).alias("nu"),
-            F.when(F.col("rep") < F.col("l_rep"), F.col("l_n")).otherwise(F.col("n")).alias("nv"),
-        ).distinct()
-        pairs = scratch.write(pairs, "pairs")
-        likely = (
-            pairs.join(regs.select(F.col("rep").alias("u"), F.col("regs").alias("ru")), "u")
-            .join(regs.select(F.col("rep").alias("v"), F.col("regs").alias("rv")), "v")
-            .withColumn("e", estimated("ru", "rv", "nu", "nv"))
-            .filter(F.col("e") >= percent / 100 - slack)
-            .select("u", "v", "nu", "nv")
-        )
-        both = likely.join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("sv")), "v").join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("su")), "u")
-        inter = F.size(F.array_intersect("su", "sv")).cast("long")
-        links = scratch.write(both.withColumn("i", inter).filter(f"100 * i >= {percent} * (nu + nv - i)").select("u", "v"), "links")
-        if not links.isEmpty():
-            of_u, of_v = labels.select(F.col("rep").alias("u"), F.col("label").alias("lu")), labels.select(F.col("rep").alias("v"), F.col("label").alias("lv"))
-            merged = components(scratch, links.join(of_u, "u").join(of_v, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")))
-            labels = scratch.write(labels.join(merged, labels.label == merged.node, "left").select("rep", F.coalesce("root", "label").alias("label")), "labels")
-            sizes = labels.groupBy("label").agg(F.count("*").alias("joined"))
-            labels = scratch.write(labels.join(sizes, "label").select("rep", "label", "joined"), "labels")
-        left = slots.drop("label", "small", "early", "joined").join(lead.select("b", F.col("l_rep").alias("rep")), ["b", "rep"], "left_anti").join(labels, "rep")
-        open_ = left.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.count("*") <= SMALL).alias("small")).filter("lo < hi").select("b", "small")
-        left = scratch.write(left.join(open_, "b").select("rep", "n", "b", "label", "small", "joined"), "slots")
-        scratch.drop(slots, lead, pairs)
-        slots = left
-        turn += 1
-    scratch.drop(sets, regs)
-    found = members.join(labels, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+    def sets_of(chosen: DataFrame) -> DataFrame:
+        """(rep, shingles) of the classes in ``chosen``, from the texts of their smallest doc_id."""
+        chosen = scratch.write(reps.join(chosen.distinct(), "rep", "left_semi"), "chosen")
+        theirs = texts.join(chosen.select("low").distinct(), F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
+        return scratch.write(theirs.select("text").mapInArrow(set_batches(words), "d1 long, d2 long, shingles array<long>").join(chosen.select("rep", "d1", "d2"), ["d1", "d2"]).select("rep", "shingles"), "sets")
+
+    none = F.lit(0).cast("long")
+    blocks = slots.filter("not large").select("b", none.alias("i"), none.alias("j"), none.alias("side"), "rep")
+    found = []
+    large = slots.filter("large")
+    labels = known.select("rep", F.col("rep").alias("label"))
+    if not large.isEmpty():
+        # linear in a group: each member beside the smallest one
+        stars = large.filter("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
+        of = lambda c: known.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("regs").alias(f"r{c}"))
+        likely = scratch.write(stars.join(of("u"), "u").join(of("v"), "v").mapInArrow(star_batches(percent), "u long, v long"), "likely")
+        sets = sets_of(likely.select(F.col("u").alias("rep")).union(likely.select("v")))
+        both = likely.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("sv")), "v")
+        common = F.size(F.array_intersect("su", "sv")).cast("long")
+        links = scratch.write(both.select("u", "v", common.alias("c"), (F.size("su") + F.size("sv")).alias("t")).filter(f"100 * c >= {percent} * (t - c)").select("u", "v"), "stars")
+        found.append(links)
+        scratch.drop(likely, sets)
+        labels = scratch.write(labels.drop("label").join(components(scratch, links).select(F.col("node").alias("rep"), "root"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("label")), "labels")
+        # a group's largest component and the rest of it, each in blocks; none of two blocks of the former
+        held = scratch.write(large.select("b", "rep", "weight").join(labels, "rep"), "large")
+        sums = held.groupBy("b", "label").agg(F.sum("weight").alias("w"))
+        top = sums.groupBy("b").agg(F.max_by("label", F.struct("w", "label")).alias("top"), F.max("w").alias("most"), F.sum("w").alias("all"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+        parts = top.select("b", "top", F.ceil("most").alias("nd"), F.ceil(F.col("all") - F.col("most") + 1e-9).alias("no"))
+        dealt = held.join(parts, "b").withColumn("first", F.when(F.col("label") == F.col("top"), 0).otherwise(F.col("nd")).cast("long"))
+        spread = F.when(F.col("label") == F.col("top"), F.col("nd")).otherwise(F.col("no"))
+        dealt = dealt.withColumn("side", F.col("first") + F.pmod(F.xxhash64("rep"), spread))
+        other = F.sequence(F.when(F.col("label") == F.col("top"), F.col("nd")).otherwise(0).cast("long"), (F.col("nd") + F.col("no") - 1).cast("long"))
+        dealt = dealt.withColumn("other", F.explode(other))
+        blocks = blocks.union(dealt.select("b", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep"))
+
+    full = known.join(labels, "rep")
+    together = lambda df: df.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j")
+    hopeful = scratch.write(together(blocks.join(full, "rep")).mapInArrow(hopeful_batches(percent, number), "b long, i long, j long, side long, rep long"), "hopeful")
+    scratch.drop(slots)
+    sets = sets_of(hopeful.select("rep"))
+    links = together(hopeful.join(full, "rep").join(sets, "rep")).mapInArrow(link_batches(percent, number), "u long, v long")
+    found.append(scratch.write(links, "links"))
+    scratch.drop(sets, hopeful, known)
+    links = found[0] if len(found) == 1 else found[0].union(found[1])
+    roots = components(scratch, links).select(F.col("node").alias("rep"), "root")
+    least = reps.select("rep", "low").join(roots, "rep").groupBy("root").agg(F.min("low").alias("least"))
+    final = scratch.write(roots.join(least, "root").select("rep", "least"), "final")
+    out = members.join(final, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "low").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
