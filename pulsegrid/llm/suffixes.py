@@ -2,15 +2,18 @@
 
 Only suffixes at content-selected positions are retained: of every 26 consecutive
 25-word sequences, the one with the smallest hash (a minimiser). Any 50 words in a row
-hold one, so two documents that share a passage of 50 words both retain a suffix inside
-it that begins with the same 25 words. The retained suffixes are sorted by that
-beginning, document and position, over ranges that split even a very common one, and
-each is compared with its neighbours: the nearest suffixes of ``NEAREST`` earlier
-documents and the first of its group. That is every earlier suffix of a small group. A
-larger one is dealt anew by whole 50-word sequences: each sequence of its documents
-whose minimiser is the common beginning is compared with the first holder of the same 50
-words, so none that an earlier document holds is missed. A match is extended left and
-right on the full texts; runs of at least 50 equal words count.
+hold one, so two documents that share 50 words both retain a suffix inside them that
+begins with the same 25 words. The retained suffixes are dealt by those first 25 words,
+which keeps each interval of the suffix array that matters in one task, and sorted there
+by the words that follow. Neighbours are compared for the length of their common prefix,
+and for each extension to the left by 0 to 25 words the suffixes that agree on it and on
+as many words to the right as make 50 are one run; all of a run but its smallest doc_id
+repeat. A longer match goes on over the next retained suffixes, and stretches that
+overlap are joined.
+
+Where more than ``CROWD`` suffixes begin with the same 25 words, they are dealt anew
+by all 50 words that they stand in, one row for each, so that no common line meets in one
+task; the smallest doc_id of each is found by a partial aggregation and a join.
 """
 
 from __future__ import annotations
@@ -20,279 +23,213 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.text import SLOTS, Words, chunks, mix, signed
+from pulsegrid.llm.batches import groups_of
+from pulsegrid.llm.text import SLOTS, U, Words, chunks, mix, signed
 from pulsegrid.runtime import Scratch, importable
 
 LEAST = 50
 GRAM = 25
-WINDOW = LEAST - GRAM + 1
-NEAREST = 4
-
-
-def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each run of LEAST words the position of its minimiser, and the hashes of all grams; at least LEAST words."""
-    n = len(hashes)
-    grams = np.zeros(n - GRAM + 1, np.uint64)
-    for j in range(GRAM):
-        grams += hashes[j : n - GRAM + 1 + j] * SLOTS[j]
-    grams = mix(grams)
-    return np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(1) + np.arange(len(grams) - WINDOW + 1), grams
-
-
-def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and hashes of the minimisers of one document's words, and whether others were left out after them.
-
-    Of a run of equal ones, as in a text of one repeated word, one in each window and the last stay.
-    """
-    if len(hashes) < LEAST:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    at, grams = minimisers(hashes)
-    at = at[np.flatnonzero(np.diff(at, prepend=-1))]
-    key = grams[at]
-    more = np.zeros(len(at), bool)
-    if (key[1:] == key[:-1]).any():
-        keep, last = np.ones(len(at), bool), 0
-        for i in range(1, len(at)):
-            if key[i] != key[i - 1]:
-                last = i
-            elif at[i] - at[last] < WINDOW and i + 1 < len(at) and key[i + 1] == key[i]:
-                keep[i], more[last] = False, True
-            else:
-                last = i
-        at, key, more = at[keep], key[keep], more[keep]
-    return at, key, more
-
-
-def sequences(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first words of one document's runs of LEAST words whose minimiser is in ``wanted``.
-
-    Of equal runs that overlap or touch, those stay that cover the same words.
-    """
-    at, grams = minimisers(hashes)
-    start = np.flatnonzero(np.isin(grams[at], wanted))
-    run = mix(grams[start] * SLOTS[0] + grams[start + LEAST - GRAM] * SLOTS[1])
-    order = np.argsort(run, kind="stable")
-    start, run = start[order], run[order]
-    keep, last = np.ones(len(run), bool), 0
-    for i in np.flatnonzero((run[1:-1] == run[:-2]) & (run[1:-1] == run[2:])) + 1:
-        if run[last] != run[i] or keep[i - 1]:
-            last = i - 1
-        if start[i + 1] - start[last] <= LEAST:
-            keep[i] = False
-    return run[keep], start[keep]
+SIDE = LEAST - GRAM
+CROWD = 2048
+SPANS = "_repeated_spans"
+POSITION = 13
+"""Bits of a packed suffix below its position: 6 each for the words to its left and right, and 1 if it is crowded."""
+
+
+def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` words in a row, of which there is at least one."""
+    out = np.zeros(len(hashes) - size + 1, np.uint64)
+    for j in range(size):
+        out += hashes[j : len(out) + j] * SLOTS[j]
+    return mix(out)
+
+
+def minimisers(grams: np.ndarray) -> np.ndarray:
+    """For each run of SIDE + 1 grams the position of the smallest, the first of equal ones."""
+    best, width = np.arange(len(grams)), 1
+    while width < SIDE + 1:
+        step = min(width, SIDE + 1 - width)
+        left, right = best[: len(best) - step], best[step:]
+        best = np.where(grams[left] <= grams[right], left, right)
+        width += step
+    return best
+
+
+def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Retained suffixes of a chunk's texts: gram, first word in the chunk, words before and after that their runs of LEAST words reach."""
+    none = np.zeros(0, np.int64)
+    if len(words.hash) < LEAST:
+        return none.astype(np.uint64), none, none, none
+    grams = rolled(words.hash, GRAM)
+    inside = np.flatnonzero(words.doc[: len(words.doc) - LEAST + 1] == words.doc[LEAST - 1 :])
+    at = minimisers(grams)[inside]
+    if not len(at):
+        return none.astype(np.uint64), none, none, none
+    first = np.flatnonzero(np.diff(at, prepend=-1) | np.diff(words.doc[inside], prepend=-1))
+    last = np.append(first[1:], len(at)) - 1
+    place = at[first]
+    return grams[place], place, place - inside[first], inside[last] + SIDE - place
+
+
+def packed(place: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return (place << POSITION) | (before << 7) | (after << 1)
 
 
 def anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for at, to, data, offs in chunks(batch, "text"):
+        ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
+        for at, _, data, offs in chunks(batch, "text"):
             words = Words(data, offs)
-            docs, places, keys, mores = [], [], [], []
-            for d in range(to - at):
-                place, key, more = anchors(words.hash[words.first[d] : words.first[d + 1]])
-                docs.append(np.full(len(place), ids[at + d]))
-                places.append(place)
-                keys.append(key)
-                mores.append(more)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(docs).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(mores))], names=["gram", "doc_id", "pos", "more"])
-
+            gram, place, before, after = anchors(words)
+            doc = words.doc[place]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(gram)), pa.array(ids[at + doc]), pa.array(marks[at + doc]), pa.array(packed(place - words.first[doc], before, after))], names=["gram", "doc_id", "mark", "suffix"])
 
-def neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, shift) of a suffix with the first and last suffix of each neighbouring earlier document.
-
-    Groups in which that may leave out a pair have a row (gram, a = doc_id) for each document besides,
-    with shift null: those of more documents, with a document that holds the gram more than twice, and
-    the first and last of the partition, which may go on in another one.
-    """
-    gram = first = last = held = None
-    before: list[tuple[int, int, int]] = []
-    docs = times = many = 0
 
-    def rows(a, b, shift, heavy):
-        none = pa.nulls(len(heavy), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shift, pa.int32())], names=["gram", "a", "b", "shift"])
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in heavy], pa.int64()), pa.array([x[1] for x in heavy], pa.int64()), none, none.cast(pa.int32())], names=["gram", "a", "b", "shift"])
-
-    for batch in batches:
-        a, b, shift, heavy = [], [], [], []
-        for g, d, p, more in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("gram", "doc_id", "pos", "more"))):
-            new = True
-            if g != gram:
-                held = None if gram is None else []
-                gram, first, before, last = g, None, [], (d, p, p)
-                docs, times, many = 1, 1, False
-            elif d != last[0]:
-                first = first or last
-                before, last = [*before[1 - NEAREST :], last], (d, p, p)
-                docs, times = docs + 1, 1
-            else:
-                last = (d, last[1], p)
-                times, new = times + 1, False
-            many = many or more or times > 2
-            if new:
-                (heavy if held is None else held).append((g, d))
-            if held is not None and (docs > NEAREST + 2 or many and docs > 1):
-                heavy += held
-                held = None
-            if first:
-                for doc, low, high in before if first[0] == before[0][0] else [first, *before]:
-                    for pos in (low, high) if low < high else (low,):
-                        a.append(doc)
-                        b.append(d)
-                        shift.append(p - pos)
-        yield from rows(a, b, shift, heavy)
-    yield from rows([], [], [], held or [])
-
-
-def sequence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of LEAST words of each text whose minimiser is one of its ``grams``."""
+def context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted suffixes with the 32-bit hashes of the words on both sides, nearest first; of crowded ones a row for each LEAST words."""
     for batch in batches:
-        ids, grams = batch.column("doc_id").to_numpy(), batch.column("grams")
+        lists = batch.column("suffixes")
         for at, to, data, offs in chunks(batch, "text"):
             words = Words(data, offs)
-            docs, runs, starts = [], [], []
-            for d in range(to - at):
-                run, start = sequences(words.hash[words.first[d] : words.first[d + 1]], grams[at + d].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                docs.append(np.full(len(run), ids[at + d]))
-                runs.append(run)
-                starts.append(start)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(runs))), pa.array(np.concatenate(docs).astype(np.int64)), pa.array(np.concatenate(starts).astype(np.int32))], names=["run", "doc_id", "pos"])
+            part = lists.slice(at, to - at)
+            flat = part.flatten().to_numpy()
+            row = np.repeat(np.arange(to - at), np.diff(part.offsets.to_numpy()))
+            place = (flat >> POSITION) + words.first[row]
+            before, after, crowded = (flat >> 7) & 63, (flat >> 1) & 63, (flat & 1) == 1
+            key = np.zeros(len(flat), np.uint64)
+            for j in range(GRAM):
+                key += words.hash[place + j] * SLOTS[j]
+            key = mix(key)
+            short = np.append((words.hash >> U(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
+            near = np.arange(SIDE)
+            left = np.where(near < before[:, None], place[:, None] - 1 - near, -1)
+            right = np.where(near < after[:, None], place[:, None] + GRAM + near, -1)
+            sides = short[np.concatenate([left, right], 1)]
+            calm = np.flatnonzero(~crowded)
+            yield context_rows(batch, at + row[calm], key[calm], flat[calm], pa.array([sides[i].tobytes() for i in calm], pa.binary()))
+            busy = np.flatnonzero(crowded)
+            if len(busy):
+                runs = after[busy] + before[busy] - SIDE + 1
+                of = np.repeat(busy, runs)
+                start = place[of] - before[of] + np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs)
+                whole = np.zeros(len(of), np.uint64)
+                for j in range(LEAST):
+                    whole += words.hash[start + j] * SLOTS[j]
+                yield context_rows(batch, at + row[of], mix(whole), start - words.first[row[of]], pa.nulls(len(of), pa.binary()))
+
+
+def context_rows(batch: pa.RecordBatch, rows: np.ndarray, key: np.ndarray, suffix: np.ndarray, sides: pa.Array) -> pa.RecordBatch:
+    ids = [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "mark")]
+    return pa.RecordBatch.from_arrays([pa.array(signed(key)), *ids, pa.array(suffix), sides], names=["key", "doc_id", "mark", "suffix", "sides"])
 
 
-def holder_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, shift) of each run of words with the first of its group.
-
-    The partition's first group may have begun in an earlier one, so its rows are handed on as
-    (run, a = doc_id, b = pos) with shift null, and so is the first row of the last group.
-    """
-    head = held = None
-    for batch in batches:
-        if not batch.num_rows:
+def neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of words that a document of smaller doc_id holds, from suffixes with equal first words."""
+    weights = mix(np.arange(1, SIDE + 1, dtype=np.uint64)) | U(1)
+    for table in groups_of(batches, ["key"]):
+        key, doc, suffix = (table.column(c).to_numpy() for c in ("key", "doc_id", "suffix"))
+        sides = np.frombuffer(b"".join(table.column("sides").to_pylist()), np.uint32).reshape(-1, 2 * SIDE)
+        order = np.lexsort([*(sides[:, i] for i in range(2 * SIDE - 1, SIDE - 1, -1)), key])
+        key, doc, suffix, sides, marks = key[order], doc[order], suffix[order], sides[order], table.column("mark").to_numpy()[order]
+        place, before, after = suffix >> POSITION, (suffix >> 7) & 63, (suffix >> 1) & 63
+        unlike = sides[1:, SIDE:] != sides[:-1, SIDE:]
+        common = np.where(unlike.any(1), unlike.argmax(1), SIDE)
+        common[key[1:] != key[:-1]] = -1
+        rank = np.empty(len(doc), np.int64)
+        rank[np.lexsort((place, doc))] = np.arange(len(doc))
+        left = np.zeros(len(doc), np.uint64)
+        rows, holders, lefts = [], [], []
+        for back in range(SIDE + 1):
+            if back:
+                left = left + sides[:, back - 1] * weights[back - 1]
+            run = np.concatenate([[0], np.cumsum(common < SIDE - back)]).astype(np.uint64)
+            held = np.flatnonzero((before >= back) & (after >= SIDE - back))
+            both = mix(left[held] + mix(run[held] + U(1)))
+            by = np.lexsort((rank[held], both))
+            held, both = held[by], both[by]
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(held) else held
+            holder = np.repeat(held[first], np.diff(np.append(first, len(held))))
+            later = doc[held] > doc[holder]
+            rows.append(held[later])
+            holders.append(doc[holder[later]])
+            lefts.append(np.full(int(later.sum()), back))
+        rows, holders, lefts = (np.concatenate(x) for x in (rows, holders, lefts))
+        if not len(rows):
             continue
-        run, doc, pos = (batch.column(c).to_numpy() for c in ("run", "doc_id", "pos"))
-        head = run[0] if head is None else head
-        at = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-        of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(run))))
-        f_doc, f_pos = doc[at], pos[at]
-        if held and held[0] == run[0]:
-            f_doc, f_pos = f_doc.copy(), f_pos.copy()
-            f_doc[0], f_pos[0] = held[1:]
-        held = (run[-1], f_doc[-1], f_pos[-1])
-        edge = run == head
-        later = (doc > f_doc[of]) & ~edge
-        n = int(later.sum())
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(f_doc[of][later]), pa.array(doc[later]), pa.array((pos - f_pos[of])[later].astype(np.int32))], names=["run", "a", "b", "shift"])
-        yield pa.RecordBatch.from_arrays([pa.array(run[edge]), pa.array(doc[edge]), pa.array(pos[edge].astype(np.int64)), pa.nulls(int(edge.sum()), pa.int32())], names=["run", "a", "b", "shift"])
-    if held:
-        yield pa.RecordBatch.from_arrays([*(pa.array([int(x)], pa.int64()) for x in held), pa.nulls(1, pa.int32())], names=["run", "a", "b", "shift"])
-
-
-def extend_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of LEAST equal words along each shift, as words and bytes of document b."""
-    for batch in batches:
-        cuts = iter_pairs(batch)
-        a_ids, b_ids, starts, ends, lows, highs = [], [], [], [], [], []
-        shifts = batch.column("shifts").to_pylist()
-        ids_a, ids_b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        for row, (ha, hb, b_start, b_end) in enumerate(cuts):
-            for shift in sorted(shifts[row]):
-                lo, hi = max(0, -shift), min(len(ha), len(hb) - shift)
-                if hi - lo < LEAST:
-                    continue
-                same = np.concatenate([[False], ha[lo:hi] == hb[lo + shift : hi + shift], [False]])
-                edge = np.flatnonzero(same[1:] != same[:-1])
-                for s, e in zip(edge[::2], edge[1::2]):
-                    if e - s >= LEAST:
-                        a_ids.append(ids_a[row])
-                        b_ids.append(ids_b[row])
-                        starts.append(s + lo + shift)
-                        ends.append(e + lo + shift)
-                        lows.append(b_start[s + lo + shift])
-                        highs.append(b_end[e + lo + shift - 1])
-        yield pa.RecordBatch.from_arrays([pa.array(b_ids, pa.int64()), pa.array(a_ids, pa.int64()), *(pa.array(np.array(x, np.int64)) for x in (starts, ends, lows, highs))], names=["doc_id", "earlier_doc_id", "start_word", "end_word", "start_byte", "end_byte"])
-
-
-def iter_pairs(batch: pa.RecordBatch):
-    """Word hashes of both texts of each row, and the byte spans of the words of b; equal a texts in a row are hashed once."""
-    last, held = None, None
-    ids = batch.column("a").to_pylist()
-    for row in range(batch.num_rows):
-        one = batch.slice(row, 1)
-        if ids[row] != last:
-            (_, _, data, offs) = next(chunks(one, "a_text"))
-            held, last = Words(data, offs).hash, ids[row]
-        (_, _, data, offs) = next(chunks(one, "b_text"))
-        words = Words(data, offs)
-        yield held, words.hash, words.start, words.end
+        by = np.lexsort((lefts, holders, rows))
+        rows, holders, lefts = rows[by], holders[by], lefts[by]
+        cut = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (holders[1:] != holders[:-1])]))
+        last = np.append(cut[1:], len(rows)) - 1
+        at = rows[cut]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(marks[at]), pa.array(holders[cut]), pa.array(place[at] - lefts[last]), pa.array(place[at] - lefts[cut] + LEAST)], names=["doc_id", "mark", "earlier_doc_id", "start_word", "end_word"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """Passages of at least 50 words that an earlier document (of smaller doc_id) holds too.
-
-    Rows (doc_id, earlier_doc_id, start_word, end_word, start_byte, end_byte): the words
-    and bytes of doc_id's text, ends exclusive. Words are runs of bytes other than space
-    and 0x09-0x0D and compared exactly. ``docs`` needs distinct doc_id and text; other
-    columns are ignored. Of a passage in many documents each later one has rows with its
-    nearest earlier holders and with the first, and every word that is in a passage of 50
-    words which an earlier document holds is in some row. Null, empty and shorter texts have no
-    rows, nor has a repetition inside one document. An empty table gives an empty result.
+    """Stretches of words that stand in passages of at least 50 words which an earlier document (of smaller doc_id) holds too.
+
+    Rows (doc_id, mark, earlier_doc_id, start_word, end_word): the words of doc_id's text,
+    end exclusive, and the xxhash64 of that text. Words are runs of bytes other than space
+    and 0x09-0x0D; runs of 25 of them are compared by a 64-bit hash, and those beside by 32
+    bits for each word. Every word of a 50-word sequence which an earlier document holds is in a
+    row, each sequence with its holder of smallest doc_id. ``docs`` needs doc_id and text;
+    other columns are ignored. Rows of one doc_id are parts of one document, which do not
+    repeat each other. A row without doc_id has no rows and holds nothing, nor has a null,
+    empty or shorter text. An empty table gives an empty result.
     """
     scratch = scratch or Scratch(spark, "suffixes")
-    docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    kept = scratch.write(docs.mapInArrow(anchor_batches, "gram long, doc_id long, pos int, more boolean"), "suffixes")
-    order = ["gram", "doc_id", "pos"]
-    near = kept.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbour_batches, "gram long, a long, b long, shift int")
-    near = scratch.write(near, "neighbours")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).filter("doc_id is not null and text is not null")
+    kept = scratch.write(docs.mapInArrow(anchor_batches, "gram long, doc_id long, mark long, suffix long"), "suffixes")
+    shared = kept.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
+    shared = shared.select("gram", (F.col("n") > CROWD).cast("long").alias("crowded"))
+    wanted = kept.join(shared, "gram").groupBy("doc_id", "mark").agg(F.collect_set(F.col("suffix") + F.col("crowded")).alias("suffixes"))
+    texts = docs.join(wanted, ["doc_id", "mark"])
+    contexts = scratch.write(texts.mapInArrow(context_batches, "key long, doc_id long, mark long, suffix long, sides binary"), "contexts")
     scratch.drop(kept)
-    needed = near.select(F.col("a").alias("doc_id"), "gram").union(near.filter("b is not null").select("b", "gram"))
-    needed = needed.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
-    texts = scratch.write(docs.join(needed, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    order = ["run", "doc_id", "pos"]
-    runs = scratch.write(texts.filter("size(grams) > 0").mapInArrow(sequence_batches, "run long, doc_id long, pos int"), "runs")
-    held = runs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(holder_batches, "run long, a long, b long, shift int")
-    held = scratch.write(held, "holders")
-    scratch.drop(runs)
-    edges = held.filter("shift is null").select("run", F.col("a").alias("doc"), F.col("b").alias("pos"))
-    # at most two runs of each partition
-    lead = F.broadcast(edges.groupBy("run").agg(F.min(F.struct("doc", "pos")).alias("f")))
-    joined = edges.join(lead, "run").filter("doc > f.doc").select(F.col("f.doc").alias("a"), F.col("doc").alias("b"), (F.col("pos") - F.col("f.pos")).cast("int").alias("shift"))
-    pairs = near.select("a", "b", "shift").union(held.select("a", "b", "shift")).filter("shift is not null").union(joined)
-    pairs = scratch.write(pairs.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")), "pairs")
-    scratch.drop(near, held)
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-    found = both.select("a", "b", "shifts", "a_text", "b_text").mapInArrow(extend_batches, "doc_id long, earlier_doc_id long, start_word long, end_word long, start_byte long, end_byte long")
-    found = scratch.write(found, "passages")
-    scratch.drop(texts, pairs)
+    shape = "doc_id long, mark long, earlier_doc_id long, start_word long, end_word long"
+    near = contexts.filter("sides is not null").repartition("key").sortWithinPartitions("key").mapInArrow(neighbour_batches, shape)
+    runs = contexts.filter("sides is null").select("key", "doc_id", "mark", F.col("suffix").alias("start_word"))
+    holders = runs.groupBy("key").agg(F.min("doc_id").alias("earlier_doc_id"), F.max("doc_id").alias("hi")).filter("earlier_doc_id < hi").drop("hi")
+    crowd = runs.join(holders, "key").filter("doc_id > earlier_doc_id").select("doc_id", "mark", "earlier_doc_id", "start_word", (F.col("start_word") + LEAST).alias("end_word"))
+    one = W.partitionBy("doc_id", "mark", "earlier_doc_id").orderBy("start_word", "end_word")
+    found = near.union(crowd).withColumn("reach", F.max("end_word").over(one.rowsBetween(W.unboundedPreceding, -1)))
+    found = found.withColumn("stretch", F.sum(F.when(F.col("start_word") <= F.col("reach"), 0).otherwise(1)).over(one.rowsBetween(W.unboundedPreceding, 0)))
+    found = found.groupBy("doc_id", "mark", "earlier_doc_id", "stretch").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
+    found = scratch.write(found.drop("stretch"), "passages")
+    scratch.drop(contexts)
     return found
 
 
 def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their spans of bytes; what is left on both sides of a cut is joined as it stands."""
+    """Texts without their spans of words; what is left on both sides of a cut is joined as it stands."""
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for row, spans in enumerate(batch.column("spans").to_pylist()):
+        for row, spans in enumerate(batch.column(SPANS).to_pylist()):
             if spans and texts[row]:
                 raw, out, at = texts[row].encode(), [], 0
-                for span in sorted((s["start_byte"], s["end_byte"]) for s in spans):
-                    if span[0] > at:
-                        out.append(raw[at : span[0]])
-                    at = max(at, span[1])
+                words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                for first, end in sorted((s["start_word"], s["end_word"]) for s in spans):
+                    if words.start[first] > at:
+                        out.append(raw[at : words.start[first]])
+                    at = max(at, words.end[end - 1])
                 out.append(raw[at:])
                 texts[row] = b"".join(out).decode()
         i = batch.schema.get_field_index("text")
-        yield batch.set_column(i, "text", pa.array(texts, batch.schema.field(i).type)).select([n for n in batch.schema.names if n != "spans"])
+        yield batch.set_column(i, "text", pa.array(texts, batch.schema.field(i).type)).select([n for n in batch.schema.names if n != SPANS])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with every passage that an earlier document holds cut from its text; the first holder keeps it.
 
-    All columns and rows stay, a text that is cut whole becomes what space was around it.
+    All columns and rows stay, one without doc_id as it is; a text that is cut whole
+    becomes what space was around it.
     """
     scratch = Scratch(spark, "cut")
-    spans = repeated_passages(spark, docs, scratch).select("doc_id", F.struct("start_byte", "end_byte").alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("spans"))
+    spans = repeated_passages(spark, docs, scratch).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    spans = spans.toDF("_of", "_mark", SPANS)
     importable(spark)
     schema = T.StructType(docs.schema.fields)
-    return docs.join(spans, "doc_id", "left").select(*docs.columns, "spans").mapInArrow(cut_batches, schema)
+    return docs.join(spans, (docs["doc_id"] == spans["_of"]) & (F.xxhash64(docs["text"]) == spans["_mark"]), "left").drop("_of", "_mark").mapInArrow(cut_batches, schema)
