@@ -7,9 +7,11 @@ back. Since two pieces either stand side by side after merging or don't, whateve
 surrounds them, the result equals that of merging best pair first.
 
 No piece has the space mark after another character, so text is encoded by chunks,
-each a run of space marks with the characters after it, and chunks are cached. Runs
+each a run of space marks with the characters after it, and short chunks are cached. Runs
 of two or more marks hold pieces of equal score, where the order of merging counts;
 such chunks are merged directly. A newline that is in no piece ends a chunk too.
+
+Decoding takes the ids alone: their pieces side by side, bytes of byte pieces as UTF-8.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import DataFrame
 from pulsegrid.runtime import importable
 
 MARK = "▁"
-CACHE = 400_000
+CACHE, CACHED_CHARS = 400_000, 64
+"""Chunks, and pairs of pieces, kept at most, and the length of those that are kept."""
 CHUNK = re.compile(" +[^ ]*")
 NORMAL, BYTE = 1, 6
 
@@ -67,7 +70,7 @@ class Codec:
         self.whole: dict[str, bool] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, str] = {}
-        self.odd: dict[str, str] = {}
+        self.shown = {str(i): p.replace(MARK, " ") for i, p in enumerate(self.text) if isinstance(p, str)}
 
     def merge(self, text: str) -> list[str]:
         """Best pair first, leftmost of equals."""
@@ -107,7 +110,7 @@ class Codec:
         for end, piece in self.find.iter(text):
             if len(piece) > 1 and self.is_whole(piece):
                 at[end + 1 - len(piece)].append(piece)
-        failed = 0
+        failed = bytearray(n // 8 + 1)
         out: list[str] = []
         left: list[int] = []
         pos = 0
@@ -117,7 +120,8 @@ class Codec:
             while options >= 0:
                 piece = at[pos][options]
                 options -= 1
-                if not failed >> (pos + len(piece)) & 1 and (not out or self.compatible(out[-1], piece)):
+                end = pos + len(piece)
+                if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], piece)):
                     break
                 piece = None
             if piece is not None:
@@ -126,7 +130,7 @@ class Codec:
                 pos += len(piece)
                 options = len(at[pos]) - 1 if pos < n else -1
             else:
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 pos -= len(out.pop())
                 options = left.pop()
         return out
@@ -178,6 +182,16 @@ class Codec:
                 raw += piece.replace(MARK, " ").encode()
         return raw.decode("utf-8", "replace")
 
+    def decode_joined(self, joined: str) -> str:
+        """The same for comma-joined ids."""
+        if not joined:
+            return ""
+        ids = joined.split(",")
+        try:
+            return "".join(map(self.shown.__getitem__, ids)).removeprefix(" ")
+        except KeyError:  # a byte or control piece
+            return self.decode([int(i) for i in ids])
+
     def look(self, key: str) -> str:
         """The comma-joined ids of a chunk: of its key as it is after a space or newline, else with a space in front."""
         known = self.cache.get(key)
@@ -185,18 +199,17 @@ class Codec:
             plain = key if key[:1] in (" ", "\n") else " " + key
             marked = plain.replace(" ", MARK)
             ids = [self.byte_id[10], *self.ids(marked[1:])] if key[:1] == "\n" else self.ids(marked)
-            known = self.cache[key] = ",".join(map(str, ids))
-            if (back := self.surface(ids)) != plain:
-                self.odd[key] = back
+            known = ",".join(map(str, ids))
+            if len(key) <= CACHED_CHARS:
+                self.cache[key] = known
         return known
 
-    def encode_joined(self, text: str) -> tuple[str, str]:
-        """Comma-joined ids of a text, and the text they decode to."""
+    def encode_joined(self, text: str) -> str:
+        """Comma-joined ids of a text."""
         if not text:
-            return "", ""
+            return ""
         if len(self.cache) > CACHE:
             self.cache.clear()
-            self.odd.clear()
         if MARK in text:
             text = text.replace(MARK, " ")
         spaced = text.replace("\n", " \n") if self.lines else text
@@ -204,13 +217,10 @@ class Codec:
             parts = CHUNK.findall(" " + text)
         else:
             parts = spaced.split(" ")
-        joined = ",".join([self.cache.get(p) or self.look(p) for p in parts])
-        if not self.odd:
-            return joined, text
-        return joined, "".join([self.odd.get(p) or (p if p[0] in " \n" else " " + p) for p in parts]).removeprefix(" ")
+        return ",".join([self.cache.get(p) or self.look(p) for p in parts])
 
     def encode(self, text: str) -> list[int]:
-        joined = self.encode_joined(text)[0]
+        joined = self.encode_joined(text)
         return [int(x) for x in joined.split(",")] if joined else []
 
 
@@ -226,10 +236,10 @@ def digest_batches(path: str, id_column: str):
         for batch in batches:
             counts, ids, texts = [], [], []
             for value in batch.column("text"):
-                joined, back = model.encode_joined(value.as_py() or "")
+                joined = model.encode_joined(value.as_py() or "")
                 counts.append(joined.count(",") + 1 if joined else 0)
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                texts.append(hashlib.sha256(back.encode()).hexdigest())
+                texts.append(hashlib.sha256(model.decode_joined(joined).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -268,7 +278,7 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id") -> DataFram
 
 
 def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
-    """Encode and decode each text in one pass: id, n_tokens, ids_sha256, decoded_sha256.
+    """Encode each text, then decode its ids: id, n_tokens, ids_sha256, decoded_sha256.
 
     Null and empty texts have no tokens, and the digest of the empty string for both.
     Repeated rows stay; an empty table gives an empty result.
