@@ -151,8 +151,10 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, snapshot_upto: int |
     null text counts as empty. Of equal texts the row with the smallest doc_id stays.
     Rows with a doc_id of at most ``snapshot_upto`` form the snapshot and the others
     the incoming batch; by default the middle of the id range divides them, and the
-    result is the same for any value. Only doc_id and text are read. A repeated doc_id
-    has repeated rows in the result; an empty table gives an empty result.
+    result is the same for any value. Only doc_id and text are read. Rows of one doc_id
+    are rows of their own, which stay or go together where their texts are equal. A row
+    without doc_id counts in its group and stays only if no row of the group has one; the
+    group's keep_id is null then. An empty table gives an empty result.
     """
     scratch = Scratch(spark, "exact")
     docs = docs.select("doc_id", "text")
@@ -165,15 +167,18 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, snapshot_upto: int |
     fresh = scratch.write(keys.filter(~old | F.col("doc_id").isNull()).groupBy("digest").agg(F.min("doc_id").alias("n_id"), F.count("*").alias("n_size")), "incoming")
     positive = snapshot.screen(fresh)
     pairs = scratch.write(positive.join(snapshot.groups, "digest").join(fresh, "digest"), "positives")
-    ids = pairs.select(F.col("s_id").alias("doc_id")).union(pairs.select(F.col("n_id").alias("doc_id"))).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", normalised("text").alias("t"))
+    wanted = pairs.select("digest", F.col("s_id").alias("id")).union(pairs.select("digest", "n_id")).distinct()
+    texts = docs.select("doc_id", normalised("text").alias("t")).withColumn("hash", F.unhex(F.sha2("t", 256)))
+    texts = texts.join(wanted, (F.col("hash") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").groupBy("hash", "doc_id").agg(F.first("t").alias("t"))
     texts = scratch.write(texts, "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("n_id"), F.col("t").alias("n_text")), "n_id").join(texts.select(F.col("doc_id").alias("s_id"), F.col("t").alias("s_text")), "s_id")
-    equal = both.filter("n_text = s_text").select("digest", F.lit(True).alias("equal"))
+    of = lambda c: texts.select(F.col("hash").alias("digest"), F.col("doc_id").alias(c), F.col("t").alias(f"{c}_text"))
+    s_side, n_side = of("s_id"), of("n_id")
+    both = pairs.join(s_side.withColumnsRenamed({"s_id": "s"}), "digest").filter("s_id = s").join(n_side.withColumnsRenamed({"n_id": "n"}), "digest").filter("n_id <=> n")
+    equal = both.filter("n_id_text = s_id_text").select("digest", F.lit(True).alias("equal"))
     groups = snapshot.groups.join(fresh, "digest", "full").join(equal, "digest", "left")
     groups = scratch.write(groups, "groups")
     scratch.drop(texts, pairs)
     found = keys.join(groups, "digest")
     mine = F.when(F.col("equal"), F.col("s_id")).when(old, F.col("s_id")).otherwise(F.col("n_id"))
     size = F.when(F.col("equal"), F.col("s_size") + F.col("n_size")).when(old, F.col("s_size")).otherwise(F.col("n_size"))
-    return found.select("doc_id", mine.alias("keep_id"), size.alias("group_size"), (F.col("doc_id") == mine).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return found.select("doc_id", mine.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(mine).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
