@@ -228,11 +228,15 @@ class WarcWriter(DataSourceArrowWriter):
         system.create_dir(base, recursive=True)
         out = f"{base}/_{self.job}-{uuid.uuid4().hex}.tmp"
         n = 0
-        with system.open_output_stream(out) as stream:
-            for batch in iterator:
-                for row in batch.to_pylist():
-                    stream.write(record_bytes(row))
-                    n += 1
+        try:
+            with system.open_output_stream(out) as stream:
+                for batch in iterator:
+                    for row in batch.to_pylist():
+                        stream.write(record_bytes(row))
+                        n += 1
+        except BaseException:
+            system.delete_file(out)
+            raise
         if not n:
             system.delete_file(out)
         return Written(out if n else None)
@@ -247,12 +251,19 @@ class WarcWriter(DataSourceArrowWriter):
                     system.delete_file(f.path)
         for i, m in enumerate(x for x in messages if x is not None and x.path):
             system.move(m.path, f"{base}/{self.job}-{i:05d}.warc")
+        self.clear()
 
     def abort(self, messages: list[Written]) -> None:
-        system, _ = file_system(self.path)
-        for m in messages:
-            if m is not None and m.path:
-                system.delete_file(m.path)
+        self.clear()
+
+    def clear(self) -> None:
+        """Delete what attempts of this job have left that do not count."""
+        from pyarrow import fs
+
+        system, base = file_system(self.path)
+        for f in system.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+            if f.base_name.startswith(f"_{self.job}-"):
+                system.delete_file(f.path)
 
 
 class WarcSource(DataSource):
@@ -277,9 +288,11 @@ def register(spark: SparkSession) -> None:
 
 
 def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with the digest and length of their payloads."""
     for batch in batches:
         payloads = [(x.as_py() or "").encode() for x in batch.column("html")]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([base32_sha1(p) for p in payloads]), pa.array([len(p) for p in payloads], pa.int64())], names=["page_id", "digest", "length"])
+        columns = [*batch.columns, pa.array([base32_sha1(p) for p in payloads], pa.string()), pa.array([len(p) for p in payloads], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "digest", "length"])
 
 
 def payload_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,14 +310,15 @@ def payload_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def to_records(scratch: Scratch, pages: DataFrame, least: int = 0) -> DataFrame:
     """A WARC record for each page: of equal payloads of at least ``least`` bytes the largest page_id is the response."""
-    pages = pages.select("page_id", "url", "html")
-    keys = scratch.write(pages.mapInArrow(digest_batches, "page_id long, digest string, length long"), "digests")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    digested = pages.mapInArrow(digest_batches, "page_id long, url string, html string, digest string, length long")
+    keys = pages.select("page_id", "html").mapInArrow(digest_batches, "page_id long, html string, digest string, length long").select("page_id", "digest", "length")
     groups = keys.filter(F.col("length") >= least).groupBy("digest", "length").agg(F.max("page_id").alias("origin"), F.count("*").alias("n")).filter("n > 1")
-    marked = keys.join(groups.drop("n"), ["digest", "length"], "left")
-    marked = marked.withColumn("origin", F.when(F.col("origin") != F.col("page_id"), F.col("origin")))
+    groups = scratch.write(groups.drop("n"), "groups")
+    marked = digested.join(groups, ["digest", "length"], "left").withColumn("origin", F.when(~F.col("origin").eqNullSafe(F.col("page_id")), F.col("origin")))
     name = "urn:pulsegrid:page:"
-    return pages.join(marked, "page_id").select(
-        F.concat(F.lit(name), F.col("page_id")).alias("record_id"),
+    return marked.select(
+        F.concat(F.lit(name), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))).alias("record_id"),
         F.when(F.col("origin").isNull(), "response").otherwise("revisit").alias("record_type"),
         F.col("url").alias("target_uri"),
         F.col("digest").alias("payload_digest"),
@@ -319,9 +333,11 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) ->
     """Write ``pages`` as WARC files in the shared folder and read them back.
 
     One row per page: page_id, payload_bytes, payload_digest, record_type, refers_to.
-    ``pages`` needs distinct page_id, url and html, other columns are ignored. A null
-    html is an empty payload, and a null url leaves its header out. Payloads are
-    compared by SHA-1 and length. An empty table gives an empty result.
+    ``pages`` needs page_id, url and html, other columns are ignored. A null html is an
+    empty payload, and a null url leaves its header out. Payloads are compared by SHA-1
+    and length. Rows of one page_id are records of their own; those of the largest page_id
+    of a group are all responses. A row without page_id is a revisit where another row of
+    its group has one, and else a response. An empty table gives an empty result.
     """
     scratch = Scratch(spark, "warc")
     register(spark)
@@ -330,5 +346,5 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) ->
     read = spark.read.format("warc").load(path)
     read = read.filter(F.col("record_type").isin("response", "revisit"))
     rows = read.mapInArrow(payload_batches, "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string")
-    number = lambda c: F.substring_index(c, ":", -1).cast("long")
+    number = lambda c: F.substring_index(c, ":", -1).try_cast("long")
     return rows.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
