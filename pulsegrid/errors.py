@@ -31,3 +31,9 @@ class ExportFileError(PulseError):
     def __init__(self, reason: str, file: str, operation: str):
         super().__init__(f"{operation} of {file} failed: {reason}", reason)
         self.file, self.operation = file, operation
+
+
+class PersistenceError(PulseError):
+    def __init__(self, path: str, reason: str):
+        super().__init__(f"{path} can't hold an instance: {reason}", "persistence")
+        self.path = path

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def parse_name(name: str) -> str:
@@ -41,14 +42,39 @@ def key_of(tags: dict[str, str | None]) -> str:
     return "{" + ",".join(f"{quote(k)}:{'null' if v is None else quote(str(v))}" for k, v in sorted(tags.items())) + "}"
 
 
-def take(tags: Column, keys: tuple[str, ...]) -> Column:
-    """The entries of a map under ``keys``; a present null stays, a missing key doesn't appear."""
-    return F.map_filter(tags, lambda k, _: k.isin(*keys) if keys else F.lit(False))
+ENTRIES = "array<struct<key:string,value:string>>"
 
 
-def take_present(tags: Column, keys: tuple[str, ...]) -> Column:
-    """The same without null values."""
-    return F.map_filter(tags, lambda k, v: (k.isin(*keys) if keys else F.lit(False)) & v.isNotNull())
+def entries(tags: Column, keys: tuple[str, ...], known: tuple[str, ...] | None = None) -> Column:
+    """The entries under ``keys`` in order of key; a present null stays, a missing key doesn't appear.
+
+    ``tags`` is a map, or a struct with the fields ``known``, all of which are present;
+    of a struct only the fields asked for are read.
+    """
+    if known is None:
+        return F.array_sort(F.map_entries(F.map_filter(tags, lambda k, _: k.isin(*keys) if keys else F.lit(False))))
+    found = [F.struct(F.lit(k).alias("key"), tags[k].cast("string").alias("value")) for k in sorted(set(keys) & set(known))]
+    return F.array(*found).cast(ENTRIES)
+
+
+def take_present(tags: Column, keys: tuple[str, ...], known: tuple[str, ...] | None = None) -> Column:
+    """The same as a map, without null values."""
+    if known is None:
+        return F.map_filter(tags, lambda k, v: (k.isin(*keys) if keys else F.lit(False)) & v.isNotNull())
+    return F.map_from_entries(F.filter(entries(tags, keys, known), lambda e: e["value"].isNotNull()))
+
+
+def as_map(values: Column, known: tuple[str, ...] | None) -> Column:
+    """A struct with the fields ``known`` as a map; a map as it is."""
+    if known is None:
+        return values
+    pairs = [c for k in known for c in (F.lit(k), values[k])]
+    return F.when(values.isNotNull(), F.create_map(*pairs))
+
+
+def fields_of(kind: T.DataType) -> tuple[str, ...] | None:
+    """The field names of a struct type; None for a map."""
+    return tuple(kind.names) if isinstance(kind, T.StructType) else None
 
 
 def seconds(ts: Column) -> Column:

@@ -26,30 +26,34 @@ class ClockMonitor:
         self.listeners: list[Listener] = []
         self.synchronized = clock is None
         self.timer: threading.Timer | None = None
+        self.lock, self.stopped = threading.RLock(), False
 
     def register(self, listener: Listener) -> None:
-        if self.synchronized:
-            listener(self.now(), 0)
-        else:
-            self.listeners.append(listener)
+        with self.lock:
+            if not self.synchronized:
+                self.listeners.append(listener)
+                return
+        listener(self.now(), 0)
 
     def poll(self) -> bool:
         """Ask the clock once; True if it is synchronized."""
-        if not self.synchronized and self.clock.synchronized():
+        with self.lock:
+            if self.synchronized or not self.clock.synchronized():
+                return self.synchronized
             self.synchronized = True
-            second = self.now()
-            waiting, self.listeners = self.listeners, []
+            second, waiting, self.listeners = self.now(), self.listeners, []
             for listener in waiting:
                 listener(second, second - self.started)
-        return self.synchronized
+        return True
 
     def start(self) -> None:
         """Poll every second on a thread of its own until the clock is synchronized."""
-        if not self.poll():
+        if not self.stopped and not self.poll():
             self.timer = threading.Timer(PERIOD, self.start)
             self.timer.daemon = True
             self.timer.start()
 
     def stop(self) -> None:
+        self.stopped = True
         if self.timer:
             self.timer.cancel()

@@ -10,7 +10,8 @@ from typing import Protocol, runtime_checkable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.columns import clean_name, seconds
+from pulsegrid.functions.columns import fields_of, seconds
+from pulsegrid.operators.state import lenient
 from pulsegrid.plans.definitions import LoggedEvent
 
 LOG_SIZE = 500
@@ -33,16 +34,19 @@ def new_session() -> str:
 def log_rows(events: DataFrame, logged: Sequence[LoggedEvent], session: str) -> DataFrame:
     """Events as log rows: allowed tags without nulls, transformed measurements, whole seconds.
 
-    One scan serves all definitions; an event without a name here has no row.
+    One scan serves all definitions; an event without a name here has no row, and a value
+    that a transformation fails on is null.
     """
-    name = clean_name(F.col("event_name"))
-    cases = [F.when(name == e.event, F.struct(e.measured(F.col("measurements")).alias("measurements"), e.tag_map(F.col("metadata")).alias("tags"), F.lit(e.group).alias("group"))) for e in logged]
-    if not cases:
-        cases = [F.lit(None).cast("struct<measurements:map<string,double>,tags:map<string,string>,group:string>")]
-    wanted = events.filter(name.isin(*[e.event for e in logged])) if logged else events.limit(0)
-    made = F.explode(F.array_compact(F.array(*cases))) if len(cases) > 1 else cases[0]
-    rows = wanted.select(name.alias("name"), made.alias("e"), seconds(F.col("ts")).alias("timestamp"), "seq")
-    return rows.select("name", "e.measurements", "e.tags", "e.group", "timestamp", F.lit(session).alias("session"), "seq")
+    known, tags_known = (fields_of(events.schema[c].dataType) for c in ("measurements", "metadata"))
+    name = F.col("event_name")
+    with lenient(events.sparkSession):
+        cases = [F.when(name == e.event, F.struct(e.measured(F.col("measurements"), known).alias("measurements"), e.tag_map(F.col("metadata"), tags_known).alias("tags"), F.lit(e.group).alias("group"))) for e in logged]
+        if not cases:
+            cases = [F.lit(None).cast("struct<measurements:map<string,double>,tags:map<string,string>,group:string>")]
+        wanted = events.filter(name.isin(*[e.event for e in logged])) if logged else events.limit(0)
+        made = F.explode(F.array_compact(F.array(*cases))) if len(cases) > 1 else cases[0]
+        rows = wanted.select(name.alias("name"), made.alias("e"), seconds(F.col("ts")).alias("timestamp"), "seq")
+        return rows.select("name", "e.measurements", "e.tags", "e.group", "timestamp", F.lit(session).alias("session"), "seq")
 
 
 def last_by_arrival(log: DataFrame, size: int = LOG_SIZE) -> DataFrame:

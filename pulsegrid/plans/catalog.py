@@ -126,9 +126,9 @@ def summary_by_type(spark, sf_dir):
     return st.summary_of(rows, "event_type").withColumns({c: F.round(c, 6) for c in ("average", "std_dev")})
 
 
-@query("SELECT event_id AS seq, value AS min, value AS max, value AS average, CAST(0 AS DOUBLE) AS std_dev FROM events WHERE event_id % 100 = 0")
+@query("SELECT event_id AS seq, value AS min, value AS max, value AS average, CAST(0 AS DOUBLE) AS std_dev FROM events")
 def summary_single_report(spark, sf_dir):
-    rows = st.metric_rows(source_events(spark, sf_dir), [metric(Kind.SUMMARY, "value", ())]).filter("seq % 100 = 0")
+    rows = st.metric_rows(source_events(spark, sf_dir), [metric(Kind.SUMMARY, "value", ())])
     return st.summary_of(rows, "seq").drop("reports")
 
 
@@ -463,7 +463,7 @@ def mbf_roundtrip(spark, sf_dir):
 
     metrics_file.register(spark)
     path = Scratch(spark, "export").path("mbf")
-    metrics_file.points_of(history_of(spark, sf_dir, COUNTER, SUMMARY)).coalesce(1).write.format("metrics_file").mode("append").save(path)
+    metrics_file.points_of(history_of(spark, sf_dir, COUNTER, SUMMARY)).write.format("metrics_file").mode("append").save(path)
     return spark.read.format("metrics_file").load(path).select("name", "type", "timestamp", tag(), "value")
 
 
@@ -506,6 +506,19 @@ def stream_last_value(spark, sf_dir):
     return drain(spark, streaming_state(stream_events(spark, sf_dir), [LAST])).select(tag(), F.col("value").alias("last_value"))
 
 
+def in_batches(spark, sf_dir, scratch, n: int) -> DataFrame:
+    """The events as a stream of ``n`` micro-batches: all of them, in order of time, a folder of files for each."""
+    from pulsegrid.sources.telemetry import EVENTS, from_events
+
+    events, path = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"), scratch.path("arrivals")
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [lo + (hi - lo) * i / n for i in range(n)] if lo else []
+    for low, high in zip(cuts, [*cuts[1:], None]):
+        some = events.filter(F.col("ts") >= low)
+        (some if high is None else some.filter(F.col("ts") < high)).coalesce(1).write.mode("append").parquet(path)
+    return from_events(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path))
+
+
 @query(f"WITH {HISTORY} SELECT timestamp, event_type, n FROM hist")
 def stream_history(spark, sf_dir):
     from pulsegrid.plans.definitions import Config
@@ -515,5 +528,86 @@ def stream_history(spark, sf_dir):
 
     scratch = Scratch(spark, "stream")
     engine = Engine(spark, Config(metrics=(COUNTER,), persistence_dir=scratch.path("engine")))
-    feed(engine, stream_events(spark, sf_dir), scratch.path("checkpoint"), every=None).awaitTermination()
+    feed(engine, in_batches(spark, sf_dir, scratch, 4), scratch.path("checkpoint"), every=None).awaitTermination()
     return engine.history.select("timestamp", tag(), whole("value", "n"))
+
+
+# an engine's own life: persistence, reports and exports
+
+
+def engine_of(spark, *metrics, **more):
+    from pulsegrid.plans.definitions import Config
+    from pulsegrid.plans.engine import Engine
+    from pulsegrid.runtime import Scratch
+
+    return Engine(spark, Config(metrics=metrics, events=tuple(LOGGED), persistence_dir=Scratch(spark, "engine").path("data"), session="session-1", **more))
+
+
+def restarted(spark, sf_dir, *metrics):
+    """An engine that took half of the events, was saved and started again, and then took the rest."""
+    from pulsegrid.plans.engine import Engine
+
+    events = source_events(spark, sf_dir)
+    cut = events.agg(F.expr("percentile_approx(unix_micros(CAST(ts AS TIMESTAMP)), 0.5)")).first()[0] or 0
+    early = F.unix_micros(F.col("ts").cast("timestamp")) <= cut
+    first = engine_of(spark, *metrics)
+    first.ingest(events.filter(early), batch_id=0)
+    first.stop()
+    second = Engine(spark, first.config)
+    second.ingest(events.filter(early), batch_id=0)  # a replay, which counts once
+    second.ingest(events.filter(~early), batch_id=1)
+    second.save()
+    return Engine(spark, first.config)
+
+
+@query(f"WITH {HISTORY} SELECT timestamp, tier, event_type, CAST(n AS DOUBLE) AS counter, last_value, CAST(total AS DOUBLE) AS sum FROM hist")
+def engine_restarted_history(spark, sf_dir):
+    history = restarted(spark, sf_dir, COUNTER, LAST, SUM).history
+    return history.groupBy("timestamp", "tier", tag()).pivot("type", ["counter", "last_value", "sum"]).agg(F.first("value"))
+
+
+@query("SELECT 'm.counter' AS name, event_type, CAST(count(*) AS DOUBLE) AS value, CAST(NULL AS BIGINT) AS reports FROM events GROUP BY ALL UNION ALL SELECT 'm.summary', event_type, NULL, count(*) FROM events GROUP BY ALL")
+def engine_restarted_state(spark, sf_dir):
+    return restarted(spark, sf_dir, COUNTER, SUMMARY).state.select("name", tag(), "value", F.col("summary.reports").alias("reports"))
+
+
+@query(LOG_SQL + f"SELECT {LOG_COLUMNS} FROM log")
+def engine_restarted_log(spark, sf_dir):
+    from pulsegrid.plans.engine import Engine
+
+    engine = engine_of(spark)
+    engine.ingest(source_events(spark, sf_dir))
+    engine.save()
+    return shown(Engine(spark, engine.config).list_events(to=NOW + 10**6))
+
+
+@query("""SELECT 'm.counter' AS name, '{"event_type":"' || event_type || '"}' AS tags_key, CAST(count(*) AS VARCHAR) || '.0' AS counter, CAST(round(sum(round(value * 100)), 2) AS VARCHAR) AS sum
+        FROM events GROUP BY event_type""")
+def state_info(spark, sf_dir):
+    state = state_of(spark, sf_dir, COUNTER, metric(Kind.SUM, CENTS, name="m.counter"))
+    return st.info(state).select("name", "tags_key", "counter", "sum")
+
+
+@query(LOG_SQL + "SELECT seq, s AS timestamp, value FROM log")
+def log_binary_roundtrip(spark, sf_dir):
+    from pulsegrid.sources import log_file
+
+    rows = log_file.parse(log_file.to_binary(event_log.last_by_arrival(event_rows(spark, sf_dir))))
+    return spark.createDataFrame([(r["seq"], r["timestamp"], r["measurements"]["value"]) for r in rows], "seq long, timestamp long, value double")
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(user_id AS BIGINT)) AS BIGINT) AS total FROM events WHERE user_id % 10 <> 0 GROUP BY event_type")
+def failing_function_isolated(spark, sf_dir):
+    """A measurement that fails on some events skips those; the metrics beside it go on."""
+    broken = metric(Kind.SUM, lambda values, tags: F.when(tags["user_id"].cast("long") % 10 != 0, tags["user_id"]).otherwise("none").cast("long").cast("double"), functions_of=2)
+    keep = lambda m: m["user_id"].cast("long") % 10 != 0
+    pivoted = state_of(spark, sf_dir, broken, metric(Kind.COUNTER, keep=keep)).groupBy(tag()).pivot("type", ["counter", "sum"]).agg(F.first("value"))
+    return pivoted.select("event_type", whole("counter", "n"), whole("sum", "total"))
+
+
+@query("SELECT event_type, CAST(sum(round(value * 100) + CAST(regexp_extract(props, '[0-9]+') AS DOUBLE)) AS BIGINT) AS total FROM events WHERE user_id % 7 <> 0 GROUP BY event_type")
+def measurement_python(spark, sf_dir):
+    def total(values, tags):
+        return values[CENTS] + float(tags["k"]) if int(tags["user_id"]) % 7 else 1 / 0
+
+    return state_of(spark, sf_dir, metric(Kind.SUM, total, functions_of=2, python=True)).select(tag(), whole("value", "total"))

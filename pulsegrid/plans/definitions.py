@@ -9,7 +9,10 @@ from enum import Enum
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.columns import parse_name, take, take_present
+from pulsegrid.functions.columns import as_map, entries, parse_name, take_present
+
+Fields = tuple[str, ...] | None
+"""Field names of a struct, None for a map."""
 
 
 class Kind(str, Enum):
@@ -25,6 +28,18 @@ class Kind(str, Enum):
 UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
 
+def by_python(f: Callable, kind: str) -> Callable[..., Column]:
+    """A Python function of plain values as a function of columns, run in Arrow batches; null where it raises."""
+
+    def guarded(*values):
+        try:
+            return f(*values)
+        except Exception:
+            return None
+
+    return F.udf(guarded, kind, useArrow=True)
+
+
 @dataclass(frozen=True)
 class Metric:
     """A metric over an event.
@@ -32,18 +47,20 @@ class Metric:
     ``measurement`` is a key of the measurements, or a function of the measurements
     column, or of measurements and metadata. ``tag_values`` maps the metadata column to a
     new map before ``tags`` picks its keys; ``keep`` decides on the metadata column;
-    ``scale`` converts units.
+    ``scale`` converts units. With ``python`` these are functions of dicts and plain
+    values instead. Where a function fails on an event, this metric skips it.
     """
 
     event_name: str
     kind: Kind
-    measurement: str | Callable[..., Column] | None = None
+    measurement: str | Callable | None = None
     name: str | None = None
     tags: tuple[str, ...] = ()
-    tag_values: Callable[[Column], Column] | None = None
-    keep: Callable[[Column], Column] | None = None
+    tag_values: Callable | None = None
+    keep: Callable | None = None
     scale: float | None = None
     functions_of: int = 1
+    python: bool = False
 
     @property
     def event(self) -> str:
@@ -56,20 +73,32 @@ class Metric:
             return parse_name(self.name)
         return f"{self.event}.{self.measurement}" if isinstance(self.measurement, str) else self.event
 
-    def value(self, measurements: Column, metadata: Column) -> Column:
+    def value(self, measurements: Column, metadata: Column, known: Fields = None, tags_known: Fields = None) -> Column:
         if self.kind is Kind.COUNTER:
             return F.lit(1.0)
         if callable(self.measurement):
-            got = self.measurement(measurements, metadata) if self.functions_of == 2 else self.measurement(measurements)
+            given = ((measurements, known), (metadata, tags_known))[: self.functions_of]
+            if self.python:
+                got = by_python(self.measurement, "double")(*(as_map(c, k) for c, k in given))
+            else:
+                got = self.measurement(*(c for c, _ in given))
+        elif known is not None and self.measurement not in known:
+            got = F.lit(None)
         else:
             got = measurements[self.measurement]
         return (got * self.scale if self.scale is not None else got).cast("double")
 
-    def tag_map(self, metadata: Column) -> Column:
-        return take(self.tag_values(metadata) if self.tag_values else metadata, self.tags)
+    def tag_entries(self, metadata: Column, known: Fields = None) -> Column:
+        if not self.tag_values:
+            return entries(metadata, self.tags, known)
+        if self.python:
+            return entries(by_python(self.tag_values, "map<string,string>")(as_map(metadata, known)), self.tags)
+        return entries(self.tag_values(metadata), self.tags)
 
-    def kept(self, metadata: Column) -> Column:
-        return F.coalesce(self.keep(metadata), F.lit(False)) if self.keep else F.lit(True)
+    def kept(self, metadata: Column, known: Fields = None) -> Column:
+        if not self.keep:
+            return F.lit(True)
+        return F.coalesce(by_python(self.keep, "boolean")(as_map(metadata, known)) if self.python else self.keep(metadata), F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -77,7 +106,8 @@ class LoggedEvent:
     """An event for the log: ``tags`` are an allow-list, ``measurement_values`` transforms (key, value) columns.
 
     ``measurements_values`` is accepted as another name of ``measurement_values``.
-    ``translate`` does the same by a Python function of (key, value), batch by batch.
+    ``translate`` does the same by a Python function of (key, value), batch by batch; a
+    value that it fails on becomes null.
     """
 
     event_name: str
@@ -91,14 +121,21 @@ class LoggedEvent:
     def event(self) -> str:
         return parse_name(self.event_name)
 
-    def tag_map(self, metadata: Column) -> Column:
-        return take_present(metadata, self.tags)
+    def tag_map(self, metadata: Column, known: Fields = None) -> Column:
+        return take_present(metadata, self.tags, known)
 
-    def measured(self, measurements: Column) -> Column:
+    def measured(self, measurements: Column, known: Fields = None) -> Column:
+        measurements = as_map(measurements, known)
         if self.translate:
             f = self.translate
-            by_python = F.udf(lambda m: None if m is None else {k: f(k, v) for k, v in m.items()}, "map<string,double>", useArrow=True)
-            return by_python(measurements)
+
+            def one(k, v):
+                try:
+                    return f(k, v)
+                except Exception:
+                    return None
+
+            return by_python(lambda m: None if m is None else {k: one(k, v) for k, v in m.items()}, "map<string,double>")(measurements)
         change = self.measurement_values or self.measurements_values
         return F.transform_values(measurements, change) if change else measurements
 
@@ -119,7 +156,7 @@ class Retention:
 
 @dataclass(frozen=True)
 class Config:
-    """An engine instance: its metrics, logged events, retention and where it persists."""
+    """An engine instance: its metrics, logged events, retention, where it persists, and the seconds between snapshots of a started one."""
 
     metrics: tuple[Metric, ...] = ()
     events: tuple[LoggedEvent, ...] = ()
@@ -129,3 +166,4 @@ class Config:
     event_log_size: int = 500
     session: str | None = None
     autosave_interval: int | None = None
+    snapshot_interval: int = 1

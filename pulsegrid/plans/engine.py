@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import logging
+import re
 import threading
 import time
 from collections.abc import Sequence
@@ -17,11 +19,13 @@ from pulsegrid.operators import state as st
 from pulsegrid.operators.clock import ClockMonitor
 from pulsegrid.plans import range_query
 from pulsegrid.plans.definitions import Config
-from pulsegrid.runtime import delete, exists
+from pulsegrid.runtime import Scratch, delete, exists, make_folder, names_in, write_text
 from pulsegrid.sources import log_file, metrics_file
+from pulsegrid.sources.telemetry import TELEMETRY
 
 log = logging.getLogger(__name__)
 FORMAT_VERSION = 2
+MARK = "committed.json"
 TABLES = ("history", "metrics_table", "event_log")
 HISTORY = "name string, type string, tags map<string,string>, tags_key string, value double, summary struct<min:double,max:double,accumulated:double,accumulated_sqrd:double,reports:long>, timestamp long, tier string"
 STATE = "name string, type string, tags map<string,string>, tags_key string, value double, summary struct<min:double,max:double,accumulated:double,accumulated_sqrd:double,reports:long>"
@@ -42,26 +46,40 @@ def migrate_v1(rows: DataFrame) -> DataFrame:
 
 
 class Engine:
-    """Holds the three tables as DataFrames; ``ingest`` adds a batch of telemetry to them.
+    """Holds the three tables; ``ingest`` adds a batch of telemetry to them, ``tick`` goes on without events.
 
     The state restored from ``persistence_dir``/``instance`` counts on; entries without
-    a definition are pruned. A batch whose ``batch_id`` isn't newer than the last is
-    skipped, so that a replay doesn't count twice.
+    a definition are pruned. Snapshots are taken once a second of the clock, whether or not
+    events came: from the last one on to the last event, or to ``now``. Events of the last
+    snapshot's second still count in it, older ones from it on. A batch whose ``batch_id``
+    isn't newer than the last is skipped; the id is saved with the tables, so that a replay
+    after a restart doesn't count twice either, and set after the work, so that a batch that
+    failed can be tried again.
+
+    ``start`` takes snapshots by the wall clock on a thread of its own until ``stop``.
     """
 
     def __init__(self, spark: SparkSession, config: Config, clock: event_log.Clock | None = None):
         self.spark, self.config = spark, config
+        self.lock = threading.RLock()
         self.clock = ClockMonitor(clock)
-        self.waiting = spark.createDataFrame([], LOG)
+        self.scratch = Scratch(spark, "engine")
         self.session = config.session or event_log.new_session()
         self.path = f"{config.persistence_dir.rstrip('/')}/{config.instance}"
+        make_folder(spark, self.path)
+        self.waiting = spark.createDataFrame([], LOG)
         self.cursor = reports.Cursor()
-        self.batch_id = -1
+        self.version, about = self.committed()
+        self.batch_id = about.get("batch_id", -1)
         self.state = st.prune(spark, self.load("metrics_table"), config.metrics)
         self.history = self.load("history")
         self.events = event_log.last_by_arrival(self.load("event_log"), config.event_log_size)
+        self.ticks = sorted(tuple(r) for r in self.history.select("timestamp", "tier").distinct().collect())  # the kept ones, a few hundred
+        self.last_tick = about.get("last_tick", self.ticks[-1][0] if self.ticks else None)
         self.clock.register(self.synchronize)
+        self.clock.start()
         self.timer: threading.Timer | None = None
+        self.ticker: threading.Timer | None = None
         self.schedule()
 
     @property
@@ -74,10 +92,18 @@ class Engine:
         """Whether the clock is right; asks it if it wasn't."""
         return self.clock.poll()
 
+    def committed(self) -> tuple[int, dict]:
+        """The newest whole version and what it says of itself; (0, {}) if there is none."""
+        numbers = [int(n[1:]) for n in names_in(self.spark, self.path) if re.fullmatch(r"v\d+", n) and exists(self.spark, f"{self.path}/{n}/{MARK}")]
+        if not numbers:
+            return 0, {}
+        text = "".join(r[0] for r in self.spark.read.text(f"{self.path}/v{max(numbers)}/{MARK}").collect())  # a line
+        return max(numbers), json.loads(text)
+
     def load(self, table: str) -> DataFrame:
         """A saved table, or an empty one if there is none or it can't be read."""
         empty = self.spark.createDataFrame([], SCHEMAS[table])
-        path = f"{self.path}/{table}"
+        path = f"{self.path}/v{self.version}/{table}" if self.version else f"{self.path}/{table}"
         if not exists(self.spark, path):
             return empty
         try:
@@ -102,34 +128,49 @@ class Engine:
             raise DataLoadError("corrupt")
         return found.select(*wanted)
 
-    def ingest(self, telemetry: DataFrame, batch_id: int | None = None) -> None:
+    def ingest(self, telemetry: DataFrame, batch_id: int | None = None, now: int | None = None) -> None:
         """Add a batch: its state is merged, its snapshots follow the kept ones, its events join the log."""
-        if batch_id is not None:
-            if batch_id <= self.batch_id:
+        with self.lock:
+            if batch_id is not None and batch_id <= self.batch_id:
                 return
-            self.batch_id = batch_id
-        fresh = st.current_state(telemetry, self.config.metrics)
-        new = hist.snapshots(self.spark, telemetry, self.config.metrics, self.config.retention)
-        carried = self.state.withColumnRenamed("value", "old_value").withColumnRenamed("summary", "old_summary")
-        ticks = new.select("timestamp", "tier").distinct()
-        # snapshots hold lifetime totals: the state before the batch is merged into each of its ticks
-        before = carried.crossJoin(F.broadcast(ticks)).select("name", "type", "tags", "tags_key", F.col("old_value").alias("value"), F.col("old_summary").alias("summary"), "timestamp", "tier")  # a few hundred ticks
-        merged = self.merge_snapshots(before, new)
-        kept = self.history.select("timestamp").distinct().union(ticks.select("timestamp"))
-        kept = hist.retain(hist.assign_tiers(kept.select(F.col("timestamp").alias("seq"), F.col("timestamp").alias("second"))), self.config.retention).select(F.col("second").alias("timestamp"), F.col("tier").alias("kept_tier"))
-        self.history = self.history.unionByName(merged).join(F.broadcast(kept), "timestamp").drop("tier").withColumnRenamed("kept_tier", "tier").select(*self.history.columns)
-        self.state = st.merge_state(self.state, fresh)
-        rows = event_log.log_rows(telemetry, self.config.events, self.session)
-        if self.synchronized:
-            self.events = event_log.last_by_arrival(self.events.unionByName(rows), self.config.event_log_size)
-        else:
-            self.waiting = event_log.last_by_arrival(self.waiting.unionByName(rows), event_log.PRE_SYNC_SIZE)
-
-    @staticmethod
-    def merge_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
-        keyed = lambda df: df.withColumn("name", F.struct("name", "timestamp", "tier")).drop("timestamp", "tier")
-        merged = st.merge_state(keyed(old), keyed(new))
-        return merged.select("name.name", "type", "tags", "tags_key", "value", "summary", "name.timestamp", "name.tier")
+            lo, hi = hist.taken_span(telemetry, self.config.metrics)
+            history, ticks, end = self.continued(telemetry, lo, max((x for x in (hi, now) if x is not None), default=None))
+            state = self.scratch.write(st.merge_state(self.state, st.current_state(telemetry, self.config.metrics)), "state")
+            rows, ready = event_log.log_rows(telemetry, self.config.events, self.session), self.synchronized
+            log_, size = (self.events, self.config.event_log_size) if ready else (self.waiting, event_log.PRE_SYNC_SIZE)
+            log_ = self.scratch.write(event_log.last_by_arrival(log_.unionByName(rows), size), "log")
+            self.scratch.drop(self.state, self.history, self.events if ready else self.waiting)
+            self.state, self.history, self.ticks, self.last_tick = state, history, ticks, end
+            if ready:
+                self.events = log_
+            else:
+                self.waiting = log_
+            if batch_id is not None:
+                self.batch_id = batch_id
+
+    def tick(self, now: int | None = None) -> None:
+        """Take the snapshots that are due up to ``now``, without events."""
+        with self.lock:
+            if self.last_tick is None and self.state.isEmpty():
+                return
+            now = int(time.time()) if now is None else now
+            history, self.ticks, self.last_tick = self.continued(self.spark.createDataFrame([], TELEMETRY), now, now)
+            self.scratch.drop(self.history)
+            self.history = history
+
+    def continued(self, telemetry: DataFrame, lo: int | None, end: int | None) -> tuple[DataFrame, list, int | None]:
+        """History, kept ticks and last tick after one tick a second up to ``end``."""
+        if end is None:
+            return self.scratch.write(self.history, "history"), self.ticks, self.last_tick
+        end = max(end, self.last_tick if self.last_tick is not None else end)
+        ticks = hist.next_ticks(self.ticks, self.last_tick, lo if lo is not None else end, end, self.config.retention)
+        fresh = [t for t in ticks if self.last_tick is None or t[0] >= self.last_tick]
+        kept = self.spark.createDataFrame([(s,) for s, _ in ticks if not fresh or s < fresh[0][0]], "timestamp long")
+        old = self.history.join(F.broadcast(kept), "timestamp", "left_semi").select(*self.history.columns)  # a few hundred ticks
+        if fresh:
+            new = hist.snapshots_at(self.spark, telemetry, self.config.metrics, fresh, self.state)
+            old = old.unionByName(new.select(*self.history.columns))
+        return self.scratch.write(old, "history"), ticks, end
 
     def remove(self, name: str, kind, tags: dict) -> None:
         self.state = st.remove(self.state, name, kind, tags)
@@ -161,8 +202,9 @@ class Engine:
 
     def clear_events(self) -> None:
         """Empty the log and its file."""
-        self.events = self.spark.createDataFrame([], LOG)
-        delete(self.spark, f"{self.path}/event_log")
+        with self.lock:
+            self.events = self.spark.createDataFrame([], LOG)
+            self.save()
 
     def latest_events(self, now: int | None = None) -> DataFrame:
         rows, self.cursor = reports.latest_events(self.events, self.cursor, int(time.time()) if now is None else now)
@@ -174,9 +216,10 @@ class Engine:
 
     def synchronize(self, sync_second: int, adjustment: int) -> None:
         """The clock is right: events that waited for it are corrected and join the log."""
-        moved = event_log.corrected(self.waiting, sync_second, adjustment)
-        self.events = event_log.last_by_arrival(self.events.unionByName(moved), self.config.event_log_size)
-        self.waiting = self.spark.createDataFrame([], LOG)
+        with self.lock:
+            moved = event_log.corrected(self.waiting, sync_second, adjustment)
+            self.events = event_log.last_by_arrival(self.events.unionByName(moved), self.config.event_log_size)
+            self.waiting = self.spark.createDataFrame([], LOG)
 
     def events_binary(self, from_: int = 0, to: int | None = None) -> bytes:
         """The listed events as bytes."""
@@ -185,27 +228,31 @@ class Engine:
     def save(self) -> dict[str, float]:
         """Write history, state and log, in that order, stopping at the first failure; seconds taken by table.
 
-        A table is written beside the old one first, which it replaces when whole.
+        They make a new version, which counts as a whole once its mark is written; older
+        ones go then. The mark has the last batch and tick.
         """
-        took = {}
-        for table, df in zip(TABLES, (self.history, self.state, self.events), strict=True):
-            began = time.monotonic()
-            path, fresh = f"{self.path}/{table}", f"{self.path}/.{table}-{event_log.new_session()}"
-            log.info("save of %s starts", table)
-            try:
-                df.withColumn("format_version", F.lit(FORMAT_VERSION)).write.parquet(fresh)
-            except Exception:
-                log.exception("save of %s failed", table)
-                raise
-            delete(self.spark, path)
-            jvm = self.spark.sparkContext._jvm
-            source = jvm.org.apache.hadoop.fs.Path(fresh)
-            source.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(source, jvm.org.apache.hadoop.fs.Path(path))
-            saved = self.read(path, SCHEMAS[table])
-            setattr(self, {"metrics_table": "state", "event_log": "events"}.get(table, table), saved)
-            took[table] = time.monotonic() - began
-            log.info("save of %s took %.3f s", table, took[table])
-        return took
+        with self.lock:
+            took, version = {}, self.version + 1
+            base = f"{self.path}/v{version}"
+            delete(self.spark, base)  # what a save that failed has left
+            for table, df in zip(TABLES, (self.history, self.state, self.events), strict=True):
+                began = time.monotonic()
+                log.info("save of %s starts", table)
+                try:
+                    df.withColumn("format_version", F.lit(FORMAT_VERSION)).write.parquet(f"{base}/{table}")
+                except Exception:
+                    log.exception("save of %s failed", table)
+                    raise
+                took[table] = time.monotonic() - began
+                log.info("save of %s took %.3f s", table, took[table])
+            write_text(self.spark, f"{base}/{MARK}", json.dumps({"batch_id": self.batch_id, "last_tick": self.last_tick}))
+            self.scratch.drop(self.history, self.state, self.events)
+            self.history, self.state, self.events = (self.read(f"{base}/{t}", SCHEMAS[t]) for t in TABLES)
+            for n in names_in(self.spark, self.path):
+                if n != f"v{version}" and (re.fullmatch(r"v\d+", n) or n in TABLES):
+                    delete(self.spark, f"{self.path}/{n}")
+            self.version = version
+            return took
 
     def schedule(self) -> None:
         """Save every ``autosave_interval`` seconds, if that is a positive number."""
@@ -220,9 +267,23 @@ class Engine:
             self.timer.daemon = True
             self.timer.start()
 
+    def start(self) -> None:
+        """Take snapshots by the wall clock, every ``snapshot_interval`` seconds."""
+
+        def turn() -> None:
+            try:
+                self.tick()
+            finally:
+                self.start()
+
+        self.ticker = threading.Timer(self.config.snapshot_interval, turn)
+        self.ticker.daemon = True
+        self.ticker.start()
+
     def stop(self) -> None:
-        """Stop saving by time and save once more."""
+        """Stop the clock, the snapshots and saving by time, and save once more."""
         self.clock.stop()
-        if self.timer:
-            self.timer.cancel()
+        for timer in (self.timer, self.ticker):
+            if timer:
+                timer.cancel()
         self.save()

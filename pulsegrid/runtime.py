@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulsegrid.errors import PersistenceError
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -94,13 +96,42 @@ class Scratch:
                 delete(self.spark, path)
 
 
+def located(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = located(spark, path)
+    system.delete(target, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    system, target = located(spark, path)
+    return system.exists(target)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Create a folder if it isn't there; PersistenceError if that fails."""
+    try:
+        system, target = located(spark, path)
+        made = system.mkdirs(target)
+    except Exception as e:
+        raise PersistenceError(path, str(e).splitlines()[0]) from e
+    if not made:
+        raise PersistenceError(path, "the folder can't be made")
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    system, target = located(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(target)) if system.exists(target) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written in one piece."""
+    system, target = located(spark, path)
+    out = system.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()

@@ -6,9 +6,9 @@ The same bytes can be read and written as a Spark data source, ``metrics_file``.
 from __future__ import annotations
 
 import json
-import os
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from pulsegrid.errors import BinaryFormatError, ExportFileError
 from pulsegrid.plans.definitions import Kind
+from pulsegrid.sources.files import file_system, files_in
 
 VERSION = 1
 FIELDS = ("name", "type", "value", "tags", "timestamp")
@@ -23,10 +24,18 @@ SCHEMA = "name string, type string, value double, tags map<string,string>, times
 KINDS = {k.value for k in Kind}
 
 
-def encode(points: list[dict]) -> bytes:
-    """Bytes of points with the five fields."""
-    lines = "\n".join(json.dumps({f: p[f] for f in FIELDS}, sort_keys=True) for p in points)
-    return bytes([VERSION]) + zlib.compress(lines.encode())
+def encoded(points: Iterable[dict]) -> Iterator[bytes]:
+    """Bytes of points with the five fields, piece by piece."""
+    yield bytes([VERSION])
+    squeeze = zlib.compressobj()
+    for n, p in enumerate(points):
+        line = json.dumps({f: p[f] for f in FIELDS}, sort_keys=True)
+        yield squeeze.compress(("\n" + line if n else line).encode())
+    yield squeeze.flush()
+
+
+def encode(points: Iterable[dict]) -> bytes:
+    return b"".join(encoded(points))
 
 
 def is_number(x) -> bool:
@@ -65,14 +74,24 @@ def file_name(now: datetime | None = None) -> str:
 
 
 def export(history: DataFrame, out_dir: str | None = None, now: datetime | None = None) -> bytes | str:
-    """The bytes of a history, at most a few hundred snapshots, or the path of the new file in ``out_dir``."""
-    data = encode([r.asDict() for r in points_of(history).orderBy("timestamp", "name", "type").collect()])
+    """The bytes of a history, or the path of the new file with them in ``out_dir``.
+
+    Points come to the driver partition by partition; a history of very many series is
+    better written with ``df.write.format("metrics_file")``, a file for each task.
+    """
+    points = (r.asDict() for r in points_of(history).orderBy("timestamp", "name", "type").toLocalIterator())
     if out_dir is None:
-        return data
-    path = os.path.join(out_dir, file_name(now))
+        return encode(points)
+    system, base = file_system(out_dir)
+    path = f"{base.rstrip('/')}/{file_name(now)}"
     try:
-        with open(path, "xb") as file:
-            file.write(data)
+        if system.get_file_info(base).type.name != "Directory":
+            raise OSError("no such folder")
+        if system.get_file_info(path).type.name != "NotFound":
+            raise OSError("the file exists")
+        with system.open_output_stream(path) as file:
+            for piece in encoded(points):
+                file.write(piece)
     except OSError as e:
         raise ExportFileError(e.strerror or str(e), path, "write") from e
     return path
@@ -89,12 +108,12 @@ class Reader(DataSourceReader):
         self.path, self.strict = options["path"], options.get("strict", "false") == "true"
 
     def partitions(self) -> list[InputPartition]:
-        path = self.path.removeprefix("file://")
-        names = [os.path.join(path, n) for n in sorted(os.listdir(path)) if n.endswith(".mbf")] if os.path.isdir(path) else [path]
-        return [Part(n) for n in names]
+        return [Part(p) for p, _ in files_in(self.path, ".mbf")]
 
     def read(self, partition: Part) -> Iterator[tuple]:
-        with open(partition.path, "rb") as file:
+        if partition is None:
+            return
+        with file_system(self.path)[0].open_input_stream(partition.path) as file:
             for p in parse(file.read(), self.strict):
                 yield p["name"], p["type"], float(p["value"]), p["tags"], p["timestamp"]
 
@@ -105,30 +124,44 @@ class Done(WriterCommitMessage):
 
 
 class Writer(DataSourceWriter):
+    """One file for each task, under a name that counts only once committed."""
+
     def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
 
     def write(self, iterator) -> Done:
-        import uuid
-
-        points = [r.asDict() for r in iterator]
-        if not points:
-            return Done(None)
-        os.makedirs(self.path, exist_ok=True)
-        out = os.path.join(self.path, f"{uuid.uuid4().hex}.tmp")
-        with open(out, "wb") as file:
-            file.write(encode(points))
-        return Done(out)
+        system, base = file_system(self.path)
+        system.create_dir(base, recursive=True)
+        out, n = f"{base}/{uuid.uuid4().hex}.tmp", 0
+
+        def points() -> Iterator[dict]:
+            nonlocal n
+            for row in iterator:
+                n += 1
+                yield row.asDict()
+
+        try:
+            with system.open_output_stream(out) as file:
+                for piece in encoded(points()):
+                    file.write(piece)
+        except BaseException:
+            system.delete_file(out)
+            raise
+        if not n:
+            system.delete_file(out)
+        return Done(out if n else None)
 
     def commit(self, messages) -> None:
+        system, _ = file_system(self.path)
         for m in messages:
             if m is not None and m.path:
-                os.replace(m.path, m.path.removesuffix(".tmp") + "-metrics.mbf")
+                system.move(m.path, m.path.removesuffix(".tmp") + "-metrics.mbf")
 
     def abort(self, messages) -> None:
+        system, _ = file_system(self.path)
         for m in messages:
-            if m is not None and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None and m.path:
+                system.delete_file(m.path)
 
 
 class MetricsFile(DataSource):

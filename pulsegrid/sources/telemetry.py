@@ -1,4 +1,8 @@
-"""Telemetry from the driver's tables: seq, ts, event_name, measurements, metadata."""
+"""Telemetry from the driver's tables: seq, ts, event_name, measurements, metadata.
+
+Measurements and metadata may be maps, or structs, of which only the fields that a
+definition asks for are read from the files.
+"""
 
 from __future__ import annotations
 
@@ -35,8 +39,8 @@ def from_events(events: DataFrame, by_type: bool = False) -> DataFrame:
         F.col("event_id").alias("seq"),
         F.col("ts").cast("timestamp_ntz").alias("ts"),
         name.alias("event_name"),
-        F.create_map(F.lit("value"), F.col("value"), F.lit("value_cents"), F.round(F.col("value") * 100)).alias("measurements"),
-        F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("user_id"), F.col("user_id").cast("string"), F.lit("k"), F.get_json_object("props", "$.k")).alias("metadata"),
+        F.struct("value", F.round(F.col("value") * 100).alias("value_cents")).alias("measurements"),
+        F.struct("event_type", F.col("user_id").cast("string").alias("user_id"), F.get_json_object("props", "$.k").alias("k")).alias("metadata"),
     )
 
 
@@ -56,6 +60,6 @@ def source_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
         F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
         F.lit("shop.line").alias("event_name"),
-        F.create_map(F.lit("quantity"), F.col("l_quantity"), F.lit("price"), F.col("l_extendedprice")).alias("measurements"),
-        F.create_map(F.lit("returnflag"), F.col("l_returnflag"), F.lit("linestatus"), F.col("l_linestatus")).alias("metadata"),
+        F.struct(F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price")).alias("measurements"),
+        F.struct(F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus")).alias("metadata"),
     )

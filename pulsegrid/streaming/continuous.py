@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from pulsegrid.operators.state import accumulate, finished, metric_rows
+from pulsegrid.operators.state import accumulated, finished
 from pulsegrid.plans.definitions import Metric
 from pulsegrid.plans.engine import Engine
 from pulsegrid.runtime import Scratch
@@ -20,7 +20,7 @@ def streaming_state(events: DataFrame, metrics: Sequence[Metric]) -> DataFrame:
 
     Its state is one row a series, kept across restarts by the query's checkpoint.
     """
-    return finished(accumulate(metric_rows(events, metrics)))
+    return finished(accumulated(events, metrics))
 
 
 def drain(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
@@ -36,15 +36,18 @@ def drain(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> Dat
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def feed(engine: Engine, stream: DataFrame, checkpoint: str, every: str | None = "1 second", after: Callable[[Engine], None] | None = None) -> StreamingQuery:
-    """Ingest a telemetry stream batch by batch, each one tick or more; batch ids make a replay harmless."""
+def feed(engine: Engine, stream: DataFrame, checkpoint: str, every: str | None = "1 second", after: Callable[[Engine], None] | None = None, now: Callable[[], int] | None = None) -> StreamingQuery:
+    """Ingest a telemetry stream batch by batch and save after each; a batch that comes again counts once.
+
+    Snapshots go up to the last event, or to ``now()`` where that is given. Between batches
+    a started engine takes them by its own clock.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            if not batch.isEmpty():
-                engine.ingest(batch, number)
-                engine.save()
+            engine.ingest(batch, number, now() if now else None)
+            engine.save()
         finally:
             batch.unpersist()
         if after:

@@ -2,8 +2,9 @@ import io
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from pulsegrid.errors import BinaryFormatError, DataLoadError, ExportFileError, UnsupportedMetricError
+from pulsegrid.errors import BinaryFormatError, DataLoadError, ExportFileError, PersistenceError, UnsupportedMetricError
 from pulsegrid.operators import event_log, exports
 from pulsegrid.plans.definitions import Config, Kind, LoggedEvent, Metric
 from pulsegrid.plans.engine import HISTORY, LOG, Engine
@@ -144,7 +145,7 @@ def test_engine_life(spark, tmp_path):
     assert list(engine.save()) == ["history", "metrics_table", "event_log"]
     again = Engine(spark, config)
     again.ingest(events(spark, (5, "a", {"v": 8.0}, {})))
-    assert again.series("a.count", "counter", from_=0) == [1, 2, 3]
+    assert again.series("a.count", "counter", from_=0) == [1, 2, 2, 2, 3]
     assert again.list_events(now=10).count() == 3
     again.clear_events()
     assert again.list_events(now=10).count() == 0
@@ -181,5 +182,92 @@ def test_autosave(spark, tmp_path):
     engine = Engine(spark, Config(persistence_dir=str(tmp_path), autosave_interval=3600))
     assert engine.timer.interval == 3600
     engine.stop()
-    assert (tmp_path / "pulsegrid" / "metrics_table").exists()
+    assert (tmp_path / "pulsegrid" / "v1" / "metrics_table").exists()
     assert Engine(spark, Config(persistence_dir=str(tmp_path), autosave_interval=0)).timer is None
+
+
+def points(engine):
+    return {(r.name, r.type, r.tags_key, r.timestamp): (r.value, r.summary, r.tier) for r in engine.history.collect()}
+
+
+def test_batches_and_restarts_equal_one_batch(spark, tmp_path):
+    """Gaps, a second split over two batches, a batch without events, a replay, a restart and a failed batch."""
+    rows = [(1, "a", {"v": 1.0}, {"t": "x"}), (4, "a", {"v": 2.0}, {"t": "x"}), (4, "a", {"v": 5.0}, {"t": "y"}), (9, "a", {"v": 3.0}, {"t": "x"}), (75, "a", {"v": 7.0}, {})]
+    metrics = tuple(Metric("a", k, "v", "a", ("t",)) for k in Kind)
+    make = lambda name: Engine(spark, Config(metrics, (LoggedEvent("a"),), instance=name, persistence_dir=str(tmp_path), session="s"))
+    whole = events(spark, *rows)
+    one = make("one")
+    one.ingest(whole)
+    want = points(one)
+    assert len({k[3] for k in want}) == 75 and {v[2] for v in want.values()} == {"day", "minute", "second"}
+    many = make("many")
+    many.ingest(whole.filter("seq < 2"), 0)
+    many.ingest(whole.filter("seq = 2"), 1)
+    many.ingest(whole.limit(0), 2)
+    many.save()
+    many = make("many")
+    assert many.batch_id == 2 and many.last_tick == 4
+    many.ingest(whole.filter("seq = 2"), 1)
+    broken = whole.filter("seq = 3").withColumn("seq", F.raise_error(F.lit("stop")).cast("long"))
+    with pytest.raises(Exception, match="stop"):
+        many.ingest(broken, 3)
+    many.ingest(whole.filter("seq = 3"), 3)
+    many.tick(30)
+    many.tick(20)
+    many.ingest(whole.filter("seq = 4"), 4)
+    assert points(many) == want
+    assert {r.seq for r in many.events.collect()} == set(range(5))
+    state = lambda e: {(r.type, r.tags_key): (r.value, r.summary) for r in e.state.collect()}
+    assert state(many) == state(one)
+    late = events(spark, (2, "a", {"v": 1.0}, {"t": "x"}))
+    many.ingest(late, 5)
+    assert many.series("a", "counter", {"t": "x"}, from_=74) == [3, 4] and many.last_tick == 75
+
+
+def test_save_counts_once_whole(spark, tmp_path, monkeypatch):
+    config = Config((Metric("a", Kind.COUNTER, name="a"),), persistence_dir=str(tmp_path))
+    engine = Engine(spark, config)
+    engine.ingest(events(spark, (1, "a", {}, {})), 0)
+    engine.save()
+    engine.ingest(events(spark, (2, "a", {}, {})), 1)
+    monkeypatch.setattr("pulsegrid.plans.engine.write_text", lambda *x: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        engine.save()
+    again = Engine(spark, config)
+    assert again.batch_id == 0 and again.state.first().value == 1
+    monkeypatch.undo()
+    again.ingest(events(spark, (2, "a", {}, {})), 1)
+    again.save()
+    assert Engine(spark, config).state.first().value == 2
+    assert [p.name for p in (tmp_path / "pulsegrid").iterdir() if not p.name.startswith(".")] == ["v2"]
+
+
+def test_instance_folder(spark, tmp_path):
+    Engine(spark, Config(instance="new", persistence_dir=str(tmp_path / "deep")))
+    assert (tmp_path / "deep" / "new").is_dir()
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(PersistenceError):
+        Engine(spark, Config(persistence_dir=str(tmp_path / "file")))
+
+
+def test_engine_polls_its_clock_and_takes_snapshots(spark, tmp_path):
+    import time
+
+    class Set:
+        right = False
+
+        def synchronized(self):
+            return self.right
+
+    engine = Engine(spark, Config((Metric("a", Kind.COUNTER, name="a"),), (LoggedEvent("a"),), persistence_dir=str(tmp_path)), clock := Set())
+    engine.ingest(events(spark, (1, "a", {}, {})))
+    clock.right = True
+    until = time.time() + 30
+    while engine.events.isEmpty() and time.time() < until:
+        time.sleep(0.5)
+    assert engine.events.count() == 1
+    engine.start()
+    while engine.last_tick == 1 and time.time() < until:
+        time.sleep(0.5)
+    engine.stop()
+    assert engine.last_tick > 10**9 and engine.series("a", "counter", from_=10**9)[-1] == 1

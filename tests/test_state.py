@@ -96,3 +96,24 @@ def test_filters_reach_the_scan(spark, tmp_path):
 
 def test_both_names_of_the_transform():
     assert LoggedEvent("a", measurements_values=lambda k, v: v).measurements_values
+
+
+def test_functions_that_fail_skip_their_metric_only(spark):
+    rows = [(1, "a", {"v": 1.0}, {"k": "2"}), (2, "a", {"v": 1.0}, {"k": "x"}), (3, "a", {"v": 4.0}, None)]
+    cast = Metric("a", Kind.SUM, lambda v, d: d["k"].cast("int").cast("double"), "cast", functions_of=2)
+    plain = Metric("a", Kind.SUM, lambda v, d: 10 / float(d["k"]), "plain", functions_of=2, python=True)
+    kept = Metric("a", Kind.COUNTER, name="kept", keep=lambda d: int(d["k"]) > 1, python=True)
+    tagged = Metric("a", Kind.COUNTER, name="tagged", tags=("t",), tag_values=lambda d: {"t": d["k"] * 2, "u": "z"}, python=True)
+    got = state(spark, rows, cast, plain, kept, tagged, Metric("a", Kind.COUNTER, name="n"))
+    values = {k[0] + k[2]: r.value for k, r in got.items()}
+    assert values == {"cast{}": 2, "plain{}": 5, "kept{}": 1, "n{}": 3, 'tagged{"t":"22"}': 1, 'tagged{"t":"xx"}': 1}
+
+
+def test_plan_reads_only_what_is_asked_and_never_sorts(spark, small):
+    from pulsegrid.sources.telemetry import source_events
+
+    for metric, schema in ((Metric("app.event", Kind.COUNTER, tags=("event_type",)), "struct<event_type:string>"), (Metric("app.event", Kind.LAST_VALUE, "value", tags=("user_id",)), "struct<event_id:bigint,user_id:bigint,value:double>")):
+        plan = st.current_state(source_events(spark, small), [metric])._jdf.queryExecution().executedPlan().toString()
+        assert f"ReadSchema: {schema}\n" in plan and plan.count("HashAggregate") == 2 and "Sort" not in plan
+    plan = st.current_state(source_events(spark, small, by_type=False), [Metric("app.event", k, "value", "m", ("event_type",)) for k in Kind])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2 and "Sort" not in plan and plan.count("Generate") == 1
