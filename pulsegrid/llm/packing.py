@@ -1,16 +1,21 @@
 """Operator 10: conflict-constrained best-fit packing.
 
-Items are dealt into shards of bounded size by a hash of their id; a shard's items are
-placed longest first. Its open bins stand ordered by residual space, each with a bitmap
-of the sources and one of the duplicate clusters it holds. The search starts at the
-successor of the item's length and goes on until the tightest bin that holds neither
-the item's source nor its cluster is found; if there is none, a new bin opens. Since
-no bin crosses shards, no conflict can either.
+Items are dealt into shards of bounded size by a hash; a shard's items are placed
+longest first. Its open bins stand ordered by residual space, each with a bitmap of the
+sources and one of the duplicate clusters it holds. The search starts at the successor
+of the item's length and goes on until the tightest bin that holds neither the item's
+source nor its cluster is found; if there is none, a new bin opens. Since no bin crosses
+shards, no conflict can either.
+
+Bins stand in one list for each set of frequent sources and clusters that they hold, so
+that bins which a frequent one rules out are not walked past: an item looks for its
+successor in the lists without it, and the tightest of those is its bin.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,8 +25,10 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.batches import by_key, runs
 from pulsegrid.runtime import Scratch
 
-SHARD = 4096
+SHARD = 65_536
 """Items in a shard on average."""
+FREQUENT = 8
+"""Sources and clusters of a shard, its most frequent ones, by which lists of bins are told apart."""
 
 
 def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -> list[int]:
@@ -29,37 +36,44 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -
 
     A source or cluster of None conflicts with nothing.
     """
-    source_bit: dict = {}
-    cluster_bit: dict = {}
-    repeated = {c for c in clusters if c is not None}
-    open_bins: list[tuple[int, int]] = []
+    seen = Counter(("source", s) for s in sources if s is not None) + Counter(("cluster", c) for c in clusters if c is not None)
+    repeated = [k for k, n in seen.most_common() if n > 1]
+    often = {k: 1 << i for i, k in enumerate(repeated[:FREQUENT])}
+    source_bit = {k[1]: 1 << i for i, k in enumerate(k for k in repeated if k[0] == "source")}
+    cluster_bit = {k[1]: 1 << i for i, k in enumerate(k for k in repeated if k[0] == "cluster")}
+    lists: dict[int, list[tuple[int, int]]] = {}
     source_map: list[int] = []
     cluster_map: list[int] = []
+    often_map: list[int] = []
     out = []
-    seen: dict = {}
-    for c in clusters:
-        seen[c] = seen.get(c, 0) + 1
-    repeated = {c for c in repeated if seen[c] > 1}
     for length, source, cluster in zip(lengths, sources, clusters, strict=True):
-        s = 0 if source is None else 1 << source_bit.setdefault(source, len(source_bit))
-        c = 1 << cluster_bit.setdefault(cluster, len(cluster_bit)) if cluster in repeated else 0
-        at = bisect_left(open_bins, (length, -1))
-        while at < len(open_bins):
-            room, number = open_bins[at]
-            if not source_map[number] & s and not cluster_map[number] & c:
-                break
-            at += 1
-        if at < len(open_bins):
-            del open_bins[at]
+        s, c = source_bit.get(source, 0), cluster_bit.get(cluster, 0)
+        mask = often.get(("source", source), 0) | often.get(("cluster", cluster), 0)
+        best, where = None, (0, 0)
+        for held, bins in lists.items():
+            if held & mask:
+                continue
+            at = bisect_left(bins, (length, -1))
+            while at < len(bins) and (best is None or bins[at] < best):
+                number = bins[at][1]
+                if not source_map[number] & s and not cluster_map[number] & c:
+                    best, where = bins[at], (held, at)
+                    break
+                at += 1
+        if best:
+            room, number = best
+            del lists[where[0]][where[1]]
             source_map[number] |= s
             cluster_map[number] |= c
+            often_map[number] |= mask
         else:
             room, number = capacity, len(source_map)
             source_map.append(s)
             cluster_map.append(c)
+            often_map.append(mask)
         out.append(number)
         if room - length > 0:
-            insort(open_bins, (room - length, number))
+            insort(lists.setdefault(often_map[number], []), (room - length, number))
     return out
 
 
@@ -83,11 +97,12 @@ def pack(spark: SparkSession, items: DataFrame, capacity: int = 2048) -> DataFra
     """Pack items into bins: one row (doc_id, part, length, shard, bin) for each part of each item.
 
     ``items`` needs doc_id, length, source and cluster; other columns are ignored. An
-    item longer than ``capacity`` is cut into full parts and a rest, none dropped; parts
-    of one item never share a bin, for they have one source and cluster. A null source
-    or cluster conflicts with nothing. A null or negative length counts as 0, and an
-    item of length 0 gets one part. (shard, bin) names a bin; the sum of its lengths is
-    at most ``capacity``. Ties fall to the smaller doc_id. An empty table gives an empty result.
+    item longer than ``capacity`` is cut into full parts, which fill a bin each, and a
+    rest, none dropped; the parts may lie in several shards. A null source or cluster
+    conflicts with nothing. A null or negative length counts as 0, and an item of length 0
+    gets one part. (shard, bin) names a bin; the sum of its lengths is at most
+    ``capacity``. Ties fall to the smaller doc_id; rows of one doc_id, or without one, are
+    items of their own. An empty table gives an empty result.
     """
     scratch = Scratch(spark, "packing")
     length = F.greatest(F.coalesce("length", F.lit(0)), F.lit(0)).cast("long")
@@ -96,5 +111,5 @@ def pack(spark: SparkSession, items: DataFrame, capacity: int = 2048) -> DataFra
     last = F.greatest(F.ceil(F.col("length") / capacity), F.lit(1)) - 1
     parts = items.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     parts = parts.withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("length") - F.col("part") * capacity))
-    parts = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    return by_key(parts, ["shard"], ["doc_id", "part"], pack_batches(capacity), "shard long, doc_id long, part long, length long, bin long")
+    parts = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part"), F.lit(shards)))
+    return by_key(parts, ["shard"], ["doc_id", "part", "source", "cluster"], pack_batches(capacity), "shard long, doc_id long, part long, length long, bin long")
