@@ -295,9 +295,11 @@ def test_packing(spark):
     assert packing.pack(spark, df.limit(0), 100).count() == 0
 
 
-def test_best_fit_is_tightest():
+@pytest.mark.parametrize("frequent", [0, 2, 8])
+def test_best_fit_is_tightest(monkeypatch, frequent):
+    monkeypatch.setattr(packing, "FREQUENT", frequent)
     rng = random.Random(3)
-    items = sorted(((rng.randrange(1, 60), rng.choice("abc"), rng.randrange(9)) for _ in range(200)), reverse=True)
+    items = sorted(((rng.randrange(1, 60), rng.choice("aaaabc") if k % 3 else None, rng.randrange(9) if k % 5 else None) for k in range(400)), key=lambda x: -x[0])
     rooms, held, want = [], [], []
     for n, s, c in items:
         fit = [(rooms[b], b) for b in range(len(rooms)) if rooms[b] >= n and s not in held[b] and c not in held[b]]
@@ -308,11 +310,26 @@ def test_best_fit_is_tightest():
             rooms.append(60)
             held.append(set())
         rooms[b] -= n
-        held[b] |= {s, c}
+        held[b] |= {s, c} - {None}
         want.append(b)
     assert packing.best_fit(*(list(x) for x in zip(*items)), 60) == want
 
 
+def test_packing_long_items_ties_and_missing_ids(spark):
+    rows = [(1, 10_050, "a", "p"), (2, 50, "b", "q"), (2, 50, "b", "q"), (None, 50, "c", None), (None, 50, "d", None), (3, -4, "a", None), (4, 100, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, length long, source string, cluster string")
+    got = packing.pack(spark, df, 100).collect()
+    assert sorted((r.doc_id or 0, r.part, r.length) for r in got) == sorted([(1, p, 100 if p < 100 else 50) for p in range(101)] + [(2, 0, 50)] * 2 + [(0, 0, 50)] * 2 + [(3, 0, 0), (4, 0, 100)])
+    bins = {}
+    for r in got:
+        bins.setdefault((r.shard, r.bin), []).append(r)
+    assert len(bins) <= 104 and all(sum(r.length for r in x) <= 100 for x in bins.values())
+    assert not [x for x in bins.values() if sum(r.doc_id == 2 for r in x) > 1]
+    again = packing.pack(spark, df.repartition(5), 100).collect()
+    key = lambda r: (r.doc_id or 0, r.part, r.length, r.shard)
+    assert sorted(map(key, again)) == sorted(map(key, got))
+
+
 def test_warc(spark, tmp_path):
     html = ["<p>a</p>", None, "", "<p>a</p>", "ü\r\n\r\nWARC/1.1\r\n", "x" * 400_000, "<p>a</p>"]
     pages = spark.createDataFrame([(i, f"http://e/{i}\r\nX: y" if i else None, h) for i, h in enumerate(html)], "page_id long, url string, html string").withColumn("digest", F.lit(1))
