@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from typing import IO
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.errors import UnsupportedMetricError
 from pulsegrid.functions.chart import line_chart
+from pulsegrid.functions.columns import number_text
 from pulsegrid.plans.definitions import Kind
 from pulsegrid.plans.range_query import metrics, series
 
@@ -22,11 +23,6 @@ def plain(type) -> None:
         raise UnsupportedMetricError("summary")
 
 
-def number_text(value: Column) -> Column:
-    """A whole number without a fraction."""
-    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
-
-
 def csv_rows(points: DataFrame, name: str, tag_names: tuple[str, ...] = ()) -> DataFrame:
     """(timestamp, line) for each point; a missing tag is empty, nothing is quoted."""
     tags = [F.coalesce(F.col("tags")[t], F.lit("")) for t in tag_names]

@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.columns import ENTRIES, fields_of, from_accumulated, key_of, seconds, tags_key
+from pulsegrid.functions.columns import ENTRIES, fields_of, from_accumulated, key_of, number_text, seconds, tags_key
 from pulsegrid.plans.definitions import Kind, Metric
 
 log = logging.getLogger(__name__)
@@ -211,5 +211,5 @@ def prune(spark: SparkSession, state: DataFrame, metrics: Sequence[Metric]) -> D
 def info(state: DataFrame) -> DataFrame:
     """One row for each (name, tags) with a column for each kind; summaries as text."""
     c = calculate(F.col("summary"))
-    shown = F.when(F.col("type") == Kind.SUMMARY.value, F.format_string("min=%.2f max=%.2f average=%.2f std_dev=%.2f", c["min"], c["max"], c["average"], c["std_dev"])).otherwise(F.round("value", 2).cast("string"))
+    shown = F.when(F.col("type") == Kind.SUMMARY.value, F.format_string("min=%.2f max=%.2f average=%.2f std_dev=%.2f", c["min"], c["max"], c["average"], c["std_dev"])).otherwise(number_text(F.round("value", 2)))
     return state.groupBy("name", "tags_key").pivot("type", [k.value for k in Kind]).agg(F.first(shown))

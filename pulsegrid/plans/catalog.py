@@ -581,7 +581,7 @@ def engine_restarted_log(spark, sf_dir):
     return shown(Engine(spark, engine.config).list_events(to=NOW + 10**6))
 
 
-@query("""SELECT 'm.counter' AS name, '{"event_type":"' || event_type || '"}' AS tags_key, CAST(count(*) AS VARCHAR) || '.0' AS counter, CAST(round(sum(round(value * 100)), 2) AS VARCHAR) AS sum
+@query("""SELECT 'm.counter' AS name, '{"event_type":"' || event_type || '"}' AS tags_key, CAST(count(*) AS VARCHAR) AS counter, CAST(CAST(sum(round(value * 100)) AS BIGINT) AS VARCHAR) AS sum
         FROM events GROUP BY event_type""")
 def state_info(spark, sf_dir):
     state = state_of(spark, sf_dir, COUNTER, metric(Kind.SUM, CENTS, name="m.counter"))

@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from pulsegrid.errors import BinaryFormatError, ExportFileError
 from pulsegrid.plans.definitions import Kind
+from pulsegrid.runtime import importable
 from pulsegrid.sources.files import file_system, files_in
 
 VERSION = 1
@@ -180,4 +181,5 @@ class MetricsFile(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    importable(spark)
     spark.dataSource.register(MetricsFile)

@@ -54,7 +54,7 @@ def test_remove_prune_lookup_and_info(spark):
     assert st.prune(spark, df, []).count() == 0
     assert st.by_name(df, "never.seen").count() == 0
     row = st.info(df).first()
-    assert row.counter == "1.0" and "average=1000.00" in row.summary
+    assert row.counter == "1" and "average=1000.00" in row.summary
 
 
 def test_merge_equals_whole(spark):
