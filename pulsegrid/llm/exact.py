@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.batches import by_key, runs
+from pulsegrid.llm.screen import screened
 from pulsegrid.llm.text import U, mix
 from pulsegrid.runtime import Scratch
 
@@ -168,7 +169,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, snapshot_upto: int |
     positive = snapshot.screen(fresh)
     pairs = scratch.write(positive.join(snapshot.groups, "digest").join(fresh, "digest"), "positives")
     wanted = pairs.select("digest", F.col("s_id").alias("id")).union(pairs.select("digest", "n_id")).distinct()
-    texts = docs.select("doc_id", normalised("text").alias("t")).withColumn("hash", F.unhex(F.sha2("t", 256)))
+    maybe, _ = screened(docs, (F.col("doc_id"),), wanted, (F.col("id"),))
+    texts = maybe.select("doc_id", normalised("text").alias("t")).withColumn("hash", F.unhex(F.sha2("t", 256)))
     texts = texts.join(wanted, (F.col("hash") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").groupBy("hash", "doc_id").agg(F.first("t").alias("t"))
     texts = scratch.write(texts, "texts")
     of = lambda c: texts.select(F.col("hash").alias("digest"), F.col("doc_id").alias(c), F.col("t").alias(f"{c}_text"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.batches import groups_of
 from pulsegrid.llm.graph import components
+from pulsegrid.llm.screen import screened
 from pulsegrid.llm.text import U, Words, chunks, long_lists, mix
 from pulsegrid.runtime import Scratch
 
@@ -268,7 +269,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wor
     def sets_of(chosen: DataFrame) -> DataFrame:
         """(rep, shingles) of the classes in ``chosen``, from the texts of their smallest doc_id."""
         chosen = scratch.write(reps.join(chosen.distinct(), "rep", "left_semi"), "chosen")
-        theirs = texts.join(chosen.select("low").distinct(), F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
+        maybe, _ = screened(texts, (F.col("doc_id"),), chosen, (F.col("low"),))
+        theirs = maybe.join(chosen.select("low").distinct(), F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
         return scratch.write(theirs.select("text").mapInArrow(set_batches(words), "d1 long, d2 long, shingles array<long>").join(chosen.select("rep", "d1", "d2"), ["d1", "d2"]).select("rep", "shingles"), "sets")
 
     none = F.lit(0).cast("long")

@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm.batches import groups_of
+from pulsegrid.llm.screen import screened
 from pulsegrid.llm.text import SLOTS, U, Words, chunks, mix, signed
 from pulsegrid.runtime import Scratch, importable
 
 LEAST = 50
 GRAM = 25
 SIDE = LEAST - GRAM
-CROWD = 2048
+CROWD = 1 << 16
 SPANS = "_repeated_spans"
 POSITION = 13
 """Bits of a packed suffix below its position: 6 each for the words to its left and right, and 1 if it is crowded."""
@@ -186,9 +187,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, scratch: Scratch | N
     shared = kept.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
     shared = shared.select("gram", (F.col("n") > CROWD).cast("long").alias("crowded"))
     wanted = kept.join(shared, "gram").groupBy("doc_id", "mark").agg(F.collect_set(F.col("suffix") + F.col("crowded")).alias("suffixes"))
-    texts = docs.join(wanted, ["doc_id", "mark"])
+    wanted = scratch.write(wanted, "wanted")
+    same = (F.col("doc_id"), F.col("mark"))
+    maybe, _ = screened(docs, same, wanted, same)
+    texts = maybe.join(wanted, ["doc_id", "mark"])
     contexts = scratch.write(texts.mapInArrow(context_batches, "key long, doc_id long, mark long, suffix long, sides binary"), "contexts")
-    scratch.drop(kept)
+    scratch.drop(kept, wanted)
     shape = "doc_id long, mark long, earlier_doc_id long, start_word long, end_word long"
     near = contexts.filter("sides is not null").repartition("key").sortWithinPartitions("key").mapInArrow(neighbour_batches, shape)
     runs = contexts.filter("sides is null").select("key", "doc_id", "mark", F.col("suffix").alias("start_word"))
@@ -228,8 +232,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     becomes what space was around it.
     """
     scratch = Scratch(spark, "cut")
-    spans = repeated_passages(spark, docs, scratch).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
-    spans = spans.toDF("_of", "_mark", SPANS)
+    found = repeated_passages(spark, docs, scratch)
+    spans = found.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans")).toDF("_of", "_mark", SPANS)
     importable(spark)
     schema = T.StructType(docs.schema.fields)
-    return docs.join(spans, (docs["doc_id"] == spans["_of"]) & (F.xxhash64(docs["text"]) == spans["_mark"]), "left").drop("_of", "_mark").mapInArrow(cut_batches, schema)
+    same = (docs["doc_id"], F.xxhash64(docs["text"]))
+    maybe, rest = screened(docs, same, found, (F.col("doc_id"), F.col("mark")))
+    cut = maybe.join(spans, (F.col("doc_id") == F.col("_of")) & (F.xxhash64("text") == F.col("_mark")), "left").drop("_of", "_mark").mapInArrow(cut_batches, schema)
+    return cut.union(rest)
