@@ -2,12 +2,16 @@
 
 In each pass a vector gets the signs of random projections, concatenated into one key;
 vectors of a label are sorted by that key and compared with a bounded window of
-neighbours. The pairs verified in all passes are united into components. The window
-bounds only what the passes compare: links are then counted exactly, by comparing
-all members of a component in blocks, so a group larger than the window loses none.
-
-The number of passes follows from the size of the largest label: it keeps the chance
-that a pair at the threshold is never within the window below ``MISS``.
+neighbours, those that share its first bits: as many bits as keep the window within
+``RUN`` vectors. How many that takes is measured for each label, so crowded labels use
+longer prefixes and more passes, and vectors of one prefix are dealt to one task, so no
+window is cut. Passes carry 16-bit copies of the vectors with a bound of their error;
+pairs that this leaves open are verified on the vectors themselves. The pairs of all
+passes are united into components. The window bounds only what the passes compare: links
+are then counted exactly, by comparing all members of a component in blocks, so a group
+larger than the window loses none.
+
+A pair at the threshold shares the prefix in no pass with a chance below ``MISS``.
 """
 
 from __future__ import annotations
@@ -15,29 +19,31 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.batches import by_key, runs
+from pulsegrid.llm.batches import by_key, groups_of, runs
 from pulsegrid.llm.graph import components, united
 from pulsegrid.runtime import Scratch
 
-WINDOW = 64
+RUN = 512
 MISS = 1e-7
 BITS = 62
 BLOCK = 1024
+CLOSE = 1e-9
+"""Products of matrices this near to the threshold are computed again pair by pair."""
 
 
-def passes_needed(largest: int, cosine: float) -> int:
-    """Passes after which a pair at the threshold has been neighbours with probability 1 - MISS."""
-    agree = 1 - math.acos(cosine) / math.pi
-    bits = 2 + max(0.0, math.log2(max(largest, 1) / WINDOW))
-    return math.ceil(math.log(MISS) / math.log1p(-(agree**bits)))
+def agreement(cosine: float) -> float:
+    """The chance that a projection has the same sign for two vectors at ``cosine``."""
+    return 1 - math.acos(cosine) / math.pi
 
 
+@lru_cache(64)
 def planes(number: int, dim: int) -> np.ndarray:
     return np.random.default_rng([20240301, number, dim]).standard_normal((dim, BITS))
 
@@ -47,6 +53,20 @@ def unit_rows(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row of one with the same row of the other."""
+    return np.einsum("ij,ij->i", x, y)
+
+
+def linked(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
+    """Which rows of one link with which of the other; the same as ``cosines`` says of each pair."""
+    product = x @ y.T
+    near = product >= cosine
+    a, b = np.nonzero(np.abs(product - cosine) < CLOSE)
+    near[a, b] = cosines(x[a], y[b]) >= cosine
+    return near
+
+
 def vector_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Usable vectors as doubles with a digest; dim is 0 for the others."""
     for batch in batches:
@@ -67,47 +87,90 @@ def vector_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(dims, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(raw, pa.binary())], names=["vec_id", "label", "dim", "d1", "d2", "vec"])
 
 
-def key_batches(passes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (1 << np.arange(BITS - 1, -1, -1)).astype(np.int64)
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                rows = batch.filter(pa.array(dims == dim))
-                x = np.frombuffer(b"".join(rows.column("vec").to_pylist()), np.float64).reshape(-1, dim)
-                for number in range(passes):
-                    key = ((x @ planes(number, int(dim)) > 0) * weights).sum(1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), number)), rows.column("label"), rows.column("dim"), pa.array(key), rows.column("vec_id"), rows.column("vec")], names=["pass", "label", "dim", "key", "vec_id", "vec"])
+def keys_of(x: np.ndarray, number: int) -> np.ndarray:
+    return ((x @ planes(number, x.shape[1]) > 0) * (1 << np.arange(BITS - 1, -1, -1))).sum(1)
 
-    return run
+
+def first_key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of pass 0, to measure how crowded they are."""
+    for batch in batches:
+        dims = batch.column("dim").to_numpy()
+        for dim in np.unique(dims):
+            rows = batch.filter(pa.array(dims == dim))
+            x = np.frombuffer(b"".join(rows.column("vec").to_pylist()), np.float64).reshape(-1, dim)
+            yield pa.RecordBatch.from_arrays([rows.column("label"), rows.column("dim"), pa.array(keys_of(x, 0))], names=["label", "dim", "key"])
+
+
+def key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each vector and pass of its label: key, its first bits, and the unit vector in 16 bits a number with its scale."""
+    for batch in batches:
+        dims, passes = batch.column("dim").to_numpy(), batch.column("passes").to_numpy()
+        for dim in np.unique(dims):
+            for number in range(int(passes[dims == dim].max())):
+                rows = batch.filter(pa.array((dims == dim) & (passes > number)))
+                x = unit_rows(rows.column("vec").to_pylist())
+                key = keys_of(x, number)
+                scale = np.abs(x).max(1) / 32767
+                small = np.rint(x / scale[:, None]).astype(np.int16)
+                prefix = key >> (BITS - rows.column("bits").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), number)), rows.column("label"), rows.column("dim"), pa.array(prefix), pa.array(key), rows.column("vec_id"), pa.array(scale), pa.array([r.tobytes() for r in small], pa.binary())], names=["pass", "label", "dim", "prefix", "key", "vec_id", "scale", "small"])
+
+
+def windows(keys: np.ndarray, bits: int = 0) -> Iterator[tuple[int, int]]:
+    """Spans of sorted keys to compare in full: of one prefix, longer where more than RUN share it.
+
+    Where more than RUN keys are equal, spans of RUN that overlap by half.
+    """
+    if len(keys) <= RUN:
+        yield 0, len(keys)
+    elif bits >= BITS:
+        for at in range(0, len(keys) - RUN // 2, RUN // 2):
+            yield at, min(at + RUN, len(keys))
+    else:
+        cut = int(np.searchsorted(keys, ((int(keys[0]) >> (BITS - bits - 1)) + 1) << (BITS - bits - 1)))
+        for lo, hi in ((0, cut), (cut, len(keys))):
+            if lo < hi:
+                yield from ((lo + a, lo + b) for a, b in windows(keys[lo:hi], bits + 1))
 
 
 def window_batches(cosine: float):
-    """Links between rows at most WINDOW apart in the sorted order, as a star for each group found in a batch."""
+    """Links between neighbours: those that are sure, as a star for each group in a window, and open ones with sure false."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([batch])])
-            tail = table.slice(max(0, table.num_rows - WINDOW)).combine_chunks()
-            keys = [table.column(c).to_numpy() for c in ("pass", "label", "dim")]
-            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            ids = table.column("vec_id").to_numpy()
-            raw = table.column("vec").to_pylist()
-            us, vs = [], []
+        for table in groups_of(batches, ["pass", "label", "dim", "prefix"]):
+            group = [table.column(c).to_numpy() for c in ("pass", "label", "dim", "prefix")]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in group], axis=0)) + 1
+            ids, keys, scale, raw = (table.column(c).to_numpy() for c in ("vec_id", "key", "scale", "small"))
+            us, vs, sure = [], [], []
             cuts = [0, *change.tolist(), table.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
-                x = unit_rows(raw[lo:hi])
-                for step in range(1, min(WINDOW, hi - lo - 1) + 1):
-                    near = np.flatnonzero(np.einsum("ij,ij->i", x[step:], x[:-step]) >= cosine)
-                    us.append(near + lo)
-                    vs.append(near + lo + step)
+                for a, b in windows(keys[lo:hi]):
+                    if b - a < 2:
+                        continue
+                    own = ids[lo + a : lo + b]
+                    x = np.frombuffer(b"".join(raw[lo + a : lo + b]), np.int16).reshape(b - a, -1).astype(np.float64) * scale[lo + a : lo + b, None]
+                    error = 1e-9 + (math.sqrt(x.shape[1]) + 1) / 32767
+                    product = np.triu(x @ x.T, 1)
+                    u, v = np.nonzero(product >= cosine - error)
+                    safe = product[u, v] >= cosine + error
+                    low = united(u[safe], v[safe], len(own))
+                    tied = np.flatnonzero(low != np.arange(len(own)))
+                    open_ = ~safe & (low[u] != low[v])
+                    us += [own[tied], own[u[open_]]]
+                    vs += [own[low[tied]], own[v[open_]]]
+                    sure += [np.ones(len(tied), bool), np.zeros(int(open_.sum()), bool)]
             if us:
-                low = united(np.concatenate(us), np.concatenate(vs), len(ids))
-                tied = np.flatnonzero(low != np.arange(len(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[low[tied]])], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, sure)], names=["u", "v", "sure"])
+
+    return run
+
+
+def verified_batches(cosine: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                good = cosines(*(unit_rows(batch.column(c).to_pylist()) for c in ("vu", "vv"))) >= cosine
+                yield batch.select(["u", "v"]).filter(pa.array(good))
 
     return run
 
@@ -122,7 +185,7 @@ def count_batches(cosine: float):
             x = unit_rows(group.column("vec").to_pylist())
             left = np.flatnonzero(block == a)
             right = left if a == b else np.flatnonzero(block == b)
-            near = x[left] @ x[right].T >= cosine
+            near = linked(x[left], x[right], cosine)
             if a == b:
                 np.fill_diagonal(near, False)
                 rows, links = left, near @ copies[right]
@@ -150,16 +213,22 @@ def near_embeddings(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
     members = scratch.write(all_.select("vec_id", *same).join(classes, same, "left").select("vec_id", "label", F.coalesce("rep", "vec_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"), (F.col("dim") > 0).alias("usable")), "members")
     reps = members.filter("usable and vec_id = rep").select("vec_id", "copies").dropDuplicates(["vec_id"])
     reps = scratch.write(all_.drop("d1", "d2").filter("dim > 0").dropDuplicates(["vec_id"]).join(reps, "vec_id"), "reps")
-    largest = reps.groupBy("label", "dim").count().agg(F.max("count")).first()[0]
     found = members.select("vec_id", "rep", "copies")
-    if largest is None:
-        return found.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    keyed = reps.select("vec_id", "label", "dim", "vec").mapInArrow(key_batches(passes_needed(largest, cosine)), "pass long, label long, dim long, key long, vec_id long, vec binary")
-    keyed = scratch.write(keyed, "keys")
-    order = ["pass", "label", "dim", "key", "vec_id"]
-    links = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(window_batches(cosine), "u long, v long")
-    roots = scratch.write(components(scratch, links.distinct()), "roots")
-    scratch.drop(keyed)
+    first = scratch.write(reps.select("label", "dim", "vec").mapInArrow(first_key_batches, "label long, dim long, key long"), "first")
+    longest = F.explode(F.sequence(F.lit(0), F.lit(BITS), F.lit(2)))
+    crowds = first.withColumn("bits", longest).groupBy("label", "dim", "bits", F.expr(f"shiftright(key, {BITS} - bits)").alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    crowds = crowds.groupBy("label", "dim", "bits").agg(F.max("n").alias("n"))
+    bits = crowds.groupBy("label", "dim").agg(F.coalesce(F.min(F.when(F.col("n") <= RUN, F.col("bits"))), F.lit(BITS)).cast("long").alias("bits"))
+    number = F.ceil(F.lit(math.log(MISS)) / F.log1p(-F.pow(F.lit(agreement(cosine)), F.col("bits"))))
+    bits = bits.withColumn("passes", F.when(F.col("bits") == 0, 1).otherwise(number).cast("long"))
+    keyed = reps.select("vec_id", "label", "dim", "vec").join(bits, ["label", "dim"]).mapInArrow(key_batches, "pass long, label long, dim long, prefix long, key long, vec_id long, scale double, small binary")
+    order = ["pass", "label", "dim", "prefix"]
+    pairs = by_key(keyed, order, ["key", "vec_id"], window_batches(cosine), "u long, v long, sure boolean").distinct()
+    pairs = scratch.write(pairs, "pairs")
+    of = lambda c: reps.select(F.col("vec_id").alias(c), F.col("vec").alias(f"v{c}"))
+    open_ = pairs.filter("not sure").join(of("u"), "u").join(of("v"), "v").select("u", "v", "vu", "vv").mapInArrow(verified_batches(cosine), "u long, v long")
+    roots = scratch.write(components(scratch, pairs.filter("sure").select("u", "v").union(open_)), "roots")
+    scratch.drop(first, pairs)
     blocks = roots.groupBy("root").count().select("root", F.ceil(F.col("count") / BLOCK).alias("blocks"))
     dealt = reps.join(roots, reps.vec_id == roots.node).join(blocks, "root")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
