@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)

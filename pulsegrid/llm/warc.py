@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from pulsegrid.runtime import Scratch
+from pulsegrid.runtime import Scratch, importable
+from pulsegrid.sources.files import file_system
 
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, payload_length long, refers_to string, content_length long, payload binary"
 #: WARC header names by column.
@@ -32,15 +33,6 @@ BATCH_BYTES = 8 << 20
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def file_system(path: str):
-    """A file system and a path in it, for file:, hdfs:, s3: and the like, or a plain local path."""
-    from pyarrow import fs
-
-    if re.match(r"[a-z][a-z0-9+.-]*:", path) and not path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
-
-
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -283,6 +275,7 @@ class WarcSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Make the source known and let Spark offer it filters."""
+    importable(spark)
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 

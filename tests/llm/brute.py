@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 
@@ -89,3 +90,37 @@ def backoff_scores(rows, order=2):
                 score += penalty + math.log(max(total[gram] - own[d][gram], 0.5) / max(words - len(w), 1))
         out[d] = (len(w), score)
     return out
+
+
+LETTERS = re.compile("[A-Za-z\x80-\U0010ffff]+")
+
+
+def quality_features(text):
+    """The hashed features of a text, by its definition: letter runs, shapes, and three shares in tenths."""
+    import numpy as np
+
+    from pulsegrid.llm import quality
+    from pulsegrid.llm.text import LOWER, TABLE, U, mix, spans
+
+    def hashed(s, table=TABLE):
+        data = np.frombuffer(s if isinstance(s, bytes) else s.encode(), np.uint8)
+        return spans(data, np.array([0]), np.array([len(data)]), table)
+
+    def kind(b):
+        c = chr(b)
+        return "x" if b >= 128 or "a" <= c <= "z" else "X" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "\0" if b < 33 or b == 127 else c
+
+    mask, out = U((1 << quality.BITS) - 1), set()
+    words = WORD.findall(text or "")
+    for run in LETTERS.findall(text or ""):
+        out.add(int((hashed(run, LOWER) & mask)[0]))
+    shapes = []
+    for w in words:
+        kinds = [kind(b) for b in w.encode()]
+        shapes.append("".join(k for i, k in enumerate(kinds) if not i or kinds[i - 1] != k))
+        out.add(int((mix(hashed(shapes[-1]) ^ U(1)) & mask)[0]))
+    if words:
+        shares = (sum(s in quality.PLAIN for s in shapes), sum(a == b for a, b in zip(words, words[1:])), len(set(words)))
+        for tag, n in zip((11, 12, 13), shares):
+            out.add(int((mix(np.array([math.ceil(n / len(words) * 10)], np.uint64) + U(tag * 1000)) & mask)[0]))
+    return out

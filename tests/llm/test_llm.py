@@ -133,6 +133,26 @@ def test_embeddings(spark):
     assert embeddings.near_embeddings(spark, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("run", [16, 512])
+def test_embeddings_in_a_cone(spark, monkeypatch, run):
+    """Vectors of one narrow cone, more than a window holds, of which few link, and many that are nearly equal."""
+    monkeypatch.setattr(embeddings, "RUN", run)
+    rng = np.random.default_rng(5)
+    middle = rng.standard_normal(32)
+    x = middle + 0.32 * rng.standard_normal((700, 32))
+    x[600:] = x[0] + 0.002 * rng.standard_normal((100, 32))
+    x[500:600] = x[100:200] + 0.16 * rng.standard_normal((100, 32))
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.triu(unit @ unit.T >= 0.98, 1)
+    links = list(zip(*(k.tolist() for k in np.nonzero(near))))
+    root = brute.roots(range(700), links)
+    n = near.sum(0) + near.sum(1)
+    assert 30 < (n[:600] > 0).sum() < 500
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_embeddings(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
+    assert got == {i: (n[i], root[i]) for i in range(700)}
+
+
 def test_pieces(spark, docs, none, texts):
     import sentencepiece
 
