@@ -15,30 +15,43 @@ from pulsegrid.llm.minhash import near_duplicates
 from pulsegrid.llm.packing import pack
 from pulsegrid.llm.quality import classify
 from pulsegrid.llm.queries import packing_items, table
+from pulsegrid.llm.screen import screened
 from pulsegrid.llm.suffixes import without_repeats
 from pulsegrid.runtime import Scratch
 
 
-def only(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``decided`` (doc_id, kept) keeps; a row without doc_id stays."""
-    gone = decided.filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def only(spark: SparkSession, docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (doc_id, text_hash, kept) keeps; equal rows go or stay together."""
+    gone = Scratch(spark, "gone").write(decided.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "gone")
+    maybe, rest = screened(docs, (F.col("doc_id"), F.xxhash64("text")), gone, (F.col("_id"), F.col("_hash")))
+    return maybe.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti").union(rest)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts: of the highest grade with a probability of at least one half."""
+    """Documents that the classifier accepts: of the highest grade with a probability of at least one half.
+
+    A null or empty text has no features and is judged by the thresholds alone; rows are
+    judged one by one, so a missing or repeated doc_id changes nothing. Without usable labels
+    every document stays; an empty table gives an empty result.
+    """
     scored = classify(spark, docs, table(spark, sf_dir, "labels"))
     return scored.filter("kept").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of equal texts."""
-    return only(docs, exact_duplicates(spark, docs))
+    """One document, that of the smallest doc_id, of each group of equal texts.
+
+    Null and empty texts are equal; a row without doc_id stays only if its group has no id.
+    """
+    return only(spark, docs, exact_duplicates(spark, docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each component of near copies."""
-    return only(docs, near_duplicates(spark, docs))
+    """One document, that of the smallest doc_id, of each component of near copies.
+
+    A text without words stays; a row without doc_id stays only if its component has no id.
+    """
+    return only(spark, docs, near_duplicates(spark, docs))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +78,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; an empty table gives no bins."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:

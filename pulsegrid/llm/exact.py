@@ -146,7 +146,7 @@ class Snapshot:
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, snapshot_upto: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and text_hash, the xxhash64 of its text.
 
     Texts are equal when identical after runs of space characters become one space; a
     null text counts as empty. Of equal texts the row with the smallest doc_id stays.
@@ -159,7 +159,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, snapshot_upto: int |
     """
     scratch = Scratch(spark, "exact")
     docs = docs.select("doc_id", "text")
-    keys = scratch.write(docs.select("doc_id", F.unhex(F.sha2(normalised("text"), 256)).alias("digest")), "keys")
+    keys = scratch.write(docs.select("doc_id", F.unhex(F.sha2(normalised("text"), 256)).alias("digest"), F.xxhash64("text").alias("text_hash")), "keys")
     if snapshot_upto is None:
         lo, hi = keys.agg(F.min("doc_id"), F.max("doc_id")).first()
         snapshot_upto = 0 if lo is None else lo + (hi - lo) // 2
@@ -183,4 +183,4 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, snapshot_upto: int |
     found = keys.join(groups, "digest")
     mine = F.when(F.col("equal"), F.col("s_id")).when(old, F.col("s_id")).otherwise(F.col("n_id"))
     size = F.when(F.col("equal"), F.col("s_size") + F.col("n_size")).when(old, F.col("s_size")).otherwise(F.col("n_size"))
-    return found.select("doc_id", mine.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(mine).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return found.select("doc_id", mine.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(mine).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "text_hash")

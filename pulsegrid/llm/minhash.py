@@ -118,9 +118,9 @@ def sketch_batches(k: int, number: int):
                 regs = registers(sets)
                 keys, held = bands(regs, number)
                 digest = np.frombuffer(b"".join(map(digest_of, sets)), np.int64).reshape(-1, 2)
-                columns = [batch.column(c).slice(at, to - at) for c in ("uid", "doc_id")]
+                columns = [batch.column(c).slice(at, to - at) for c in ("uid", "doc_id", "text_hash")]
                 columns += [pa.array([len(x) for x in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([r.tobytes() for r in regs], pa.binary()), long_lists([x[h] for x, h in zip(keys, held, strict=True)])]
-                yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "n", "d1", "d2", "regs", "bands"])
+                yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "text_hash", "n", "d1", "d2", "regs", "bands"])
 
     return run
 
@@ -241,7 +241,7 @@ def star_batches(percent: int):
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, and text_hash, the xxhash64 of its text.
 
     ``docs`` needs doc_id and text; other columns, whatever their names, are ignored.
     Links need 100 * intersection >= ``percent`` * union of distinct ``words``-word
@@ -253,11 +253,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wor
     """
     scratch, number = Scratch(spark, "minhash"), bands_needed(percent)
     texts = docs.select("doc_id", "text")
-    numbered = texts.withColumn("uid", F.monotonically_increasing_id())  # fixed by writing the sketch
-    sketch = scratch.write(numbered.mapInArrow(sketch_batches(words, number), "uid long, doc_id long, n long, d1 long, d2 long, regs binary, bands array<long>"), "sketch")
+    numbered = texts.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")  # fixed by writing the sketch
+    sketch = scratch.write(numbered.mapInArrow(sketch_batches(words, number), "uid long, doc_id long, text_hash long, n long, d1 long, d2 long, regs binary, bands array<long>"), "sketch")
     same = ["d1", "d2", "n"]
     classes = sketch.filter("n > 0").groupBy(*same).agg(F.min("uid").alias("rep"), F.min("doc_id").alias("low"))
-    members = scratch.write(sketch.select("uid", "doc_id", *same).join(classes, same, "left").select("uid", "doc_id", *same, F.coalesce("rep", "uid").alias("rep"), F.coalesce("low", "doc_id").alias("low")), "members")
+    members = scratch.write(sketch.select("uid", "doc_id", "text_hash", *same).join(classes, same, "left").select("uid", "doc_id", "text_hash", *same, F.coalesce("rep", "uid").alias("rep"), F.coalesce("low", "doc_id").alias("low")), "members")
     reps = members.filter("uid = rep and n > 0").select("rep", "n", "d1", "d2", "low")
     weight = 1 / F.lit(BLOCK) + F.col("n") / SHINGLES
     slots = sketch.join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("rep"), weight.alias("weight"), F.explode("bands").alias("b"))
@@ -314,5 +314,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80, wor
     roots = components(scratch, links).select(F.col("node").alias("rep"), "root")
     least = reps.select("rep", "low").join(roots, "rep").groupBy("root").agg(F.min("low").alias("least"))
     final = scratch.write(roots.join(least, "root").select("rep", "least"), "final")
-    out = members.join(final, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "low").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = members.join(final, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "low").alias("component_id"), "text_hash")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")

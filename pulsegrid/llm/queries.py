@@ -31,7 +31,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), percent=85).drop("text_hash")
 
 
 def op2_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(spark, table(spark, sf_dir, "documents"))
+    return exact_duplicates(spark, table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,10 +109,11 @@ def count_batches(path: str):
             for row, value in enumerate(batch.column("text")):
                 text = value.as_py() or ""
                 sizes[row] = len(text.encode())
-                for part in pieces(text) if cut else [text]:
+                cuts = pieces(text) if cut else [text]
+                for part in cuts:
                     parts.append(part)
                     rows.append(row)
-                    held += len(part)
+                    held += sizes[row] if len(cuts) == 1 else len(part.encode())
                     if held >= GROUP_BYTES:
                         flush()
                         held = 0

@@ -471,3 +471,17 @@ def test_pipeline_near_copies_from_80_percent(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute.near_duplicates(rows, percent=80)
     assert {r.doc_id for r in c.near(spark, df, "/nowhere").collect()} == {root for _, root in want.values()} == set(range(0, 40, 2))
+
+
+def test_pipeline_repeated_and_missing_ids(spark):
+    """A decision holds for its row only: rows of one doc_id with unlike texts, and rows without one."""
+    import corpus_pipeline as c
+
+    rng = random.Random(3)
+    a, b, d = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(1, a), (2, b), (2, a), (None, b), (3, d), (3, d), (None, "alone"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(1, a), (2, b), (3, d), (3, d), (None, "alone"), (4, None)]
+    assert sorted(((r.doc_id, r.text) for r in c.exact(spark, df, "/nowhere").collect()), key=str) == sorted(kept, key=str)
+    df = spark.createDataFrame([(i, t + " more" if t == a and i != 1 or t == b and i is None else t) for i, t in rows], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in c.near(spark, df, "/nowhere").collect()), key=str) == sorted([*kept, (5, "")], key=str)
