@@ -17,16 +17,17 @@ class ClockMonitor:
 
     The adjustment is the sync second less the second the monitor started at. Without a
     clock, or once it is synchronized, a new listener is told at once, with adjustment 0.
-    ``now`` gives whole seconds.
+    ``now`` gives whole seconds. Listeners are told under ``lock``, which an owner shares so
+    that neither waits for the other.
     """
 
-    def __init__(self, clock: Clock | None = None, now: Callable[[], int] = lambda: int(time.time())):
+    def __init__(self, clock: Clock | None = None, now: Callable[[], int] = lambda: int(time.time()), lock: threading.RLock | None = None):
         self.clock, self.now = clock, now
         self.started = now()
         self.listeners: list[Listener] = []
         self.synchronized = clock is None
         self.timer: threading.Timer | None = None
-        self.lock, self.stopped = threading.RLock(), False
+        self.lock, self.stopped = lock or threading.RLock(), False
 
     def register(self, listener: Listener) -> None:
         with self.lock:

@@ -611,3 +611,58 @@ def measurement_python(spark, sf_dir):
         return values[CENTS] + float(tags["k"]) if int(tags["user_id"]) % 7 else 1 / 0
 
     return state_of(spark, sf_dir, metric(Kind.SUM, total, functions_of=2, python=True)).select(tag(), whole("value", "total"))
+
+
+@query(SQL["clock_corrected_log"])
+def engine_clock_set_late(spark, sf_dir):
+    """An engine whose clock becomes right after its first events."""
+    from pulsegrid.plans.definitions import Config
+    from pulsegrid.plans.engine import Engine
+    from pulsegrid.runtime import Scratch
+
+    class Late:
+        right = False
+
+        def synchronized(self):
+            return self.right
+
+    clock, events = Late(), source_events(spark, sf_dir)
+    engine = Engine(spark, Config(events=tuple(LOGGED), persistence_dir=Scratch(spark, "engine").path("data"), event_log_size=5000), clock)
+    engine.clock.started, engine.clock.now = SYNC[1], lambda: SYNC[2]
+    engine.ingest(events.filter(F.col("seq") < SYNC[0]))
+    clock.right = engine.synchronized or True
+    engine.ingest(events.filter(F.col("seq") >= SYNC[0]))
+    engine.clock.stop()
+    return engine.events.select("seq", F.col("tags")["event_type"].alias("event_type"), "timestamp")
+
+
+@query(SQL["csv_lines"])
+def csv_text(spark, sf_dir):
+    text = exports.csv(history_of(spark, sf_dir, metric(Kind.COUNTER, tags=())), "m.counter", "counter", {}, from_=0)
+    return spark.createDataFrame([(line,) for line in text.split("\n")], "line string")
+
+
+@query(SQL["csv_no_header"])
+def csv_to_device(spark, sf_dir):
+    import io
+
+    out = io.StringIO()
+    exports.csv(history_of(spark, sf_dir, metric(Kind.COUNTER, tags=())), "m.counter", "counter", {}, headers=False, iodevice=out, from_=0)
+    return spark.createDataFrame([(line,) for line in out.getvalue().splitlines()], "line string")
+
+
+@query(f"WITH {HISTORY} SELECT CAST(row_number() OVER (ORDER BY timestamp) AS BIGINT) AS row, round(mean, 6) AS value FROM hist WHERE event_type = 'view'")
+def series_list(spark, sf_dir):
+    found = exports.values(history_of(spark, sf_dir, SUMMARY), "m.summary", ("summary", "average"), {"event_type": "view"}, from_=0)
+    return spark.createDataFrame([(i + 1, round(v, 6)) for i, v in enumerate(found)], "row long, value double")
+
+
+@query(SQL["mbf_roundtrip"])
+def mbf_export_file(spark, sf_dir):
+    from pulsegrid.runtime import Scratch, make_folder
+
+    metrics_file.register(spark)
+    folder = Scratch(spark, "export").path("mbf")
+    make_folder(spark, folder)
+    path = metrics_file.export(history_of(spark, sf_dir, COUNTER, SUMMARY), folder)
+    return spark.read.format("metrics_file").load(path).select("name", "type", "timestamp", tag(), "value")

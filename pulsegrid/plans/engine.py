@@ -62,7 +62,7 @@ class Engine:
     def __init__(self, spark: SparkSession, config: Config, clock: event_log.Clock | None = None):
         self.spark, self.config = spark, config
         self.lock = threading.RLock()
-        self.clock = ClockMonitor(clock)
+        self.clock = ClockMonitor(clock, lock=self.lock)
         self.scratch = Scratch(spark, "engine")
         self.session = config.session or event_log.new_session()
         self.path = f"{config.persistence_dir.rstrip('/')}/{config.instance}"
