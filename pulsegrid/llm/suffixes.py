@@ -190,7 +190,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, scratch: Scratch | N
     wanted = scratch.write(wanted, "wanted")
     same = (F.col("doc_id"), F.col("mark"))
     maybe, _ = screened(docs, same, wanted, same)
-    texts = maybe.join(wanted, ["doc_id", "mark"])
+    # dealt evenly, whatever files hold the common passages
+    texts = maybe.repartition("doc_id", "mark").join(wanted, ["doc_id", "mark"])
     contexts = scratch.write(texts.mapInArrow(context_batches, "key long, doc_id long, mark long, suffix long, sides binary"), "contexts")
     scratch.drop(kept, wanted)
     shape = "doc_id long, mark long, earlier_doc_id long, start_word long, end_word long"
