@@ -11,6 +11,10 @@ as many words to the right as make 50 are one run; all of a run but its smallest
 repeat. A longer match goes on over the next retained suffixes, and stretches that
 overlap are joined.
 
+Words that go round in a short period make a suffix for each period, with the same words
+on both sides. Those of a text that follow each other within 50 words are one row with the
+distance to the last of them: they have the same holders, and their stretches join.
+
 Where more than ``CROWD`` suffixes begin with the same 25 words, they are dealt anew
 by all 50 words that they stand in, one row for each, so that no common line meets in one
 task; the smallest doc_id of each is found by a partial aggregation and a join.
@@ -37,8 +41,10 @@ GRAM = 25
 SIDE = LEAST - GRAM
 CROWD = 1 << 16
 SPANS = "_repeated_spans"
-POSITION = 13
-"""Bits of a packed suffix below its position: 6 each for the words to its left and right, and 1 if it is crowded."""
+EXTENT = 13
+"""Bits of a packed suffix below its extent: 6 each for the words to its left and right, and 1 if it is crowded."""
+POSITION = 32
+"""Bits below its position, so that an extent has 19; longer ones are split."""
 
 
 def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -60,24 +66,44 @@ def minimisers(grams: np.ndarray) -> np.ndarray:
     return best
 
 
-def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Retained suffixes of a chunk's texts: gram, first word in the chunk, words before and after that their runs of LEAST words reach."""
+def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Retained suffixes of a chunk's texts: gram, first word in the chunk, words before and after that their runs of LEAST words reach, words to the last equal one."""
     none = np.zeros(0, np.int64)
     if len(words.hash) < LEAST:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     grams = rolled(words.hash, GRAM)
     inside = np.flatnonzero(words.doc[: len(words.doc) - LEAST + 1] == words.doc[LEAST - 1 :])
     at = minimisers(grams)[inside]
     if not len(at):
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     first = np.flatnonzero(np.diff(at, prepend=-1) | np.diff(words.doc[inside], prepend=-1))
     last = np.append(first[1:], len(at)) - 1
     place = at[first]
-    return grams[place], place, place - inside[first], inside[last] + SIDE - place
+    before, after = place - inside[first], inside[last] + SIDE - place
+    # three grams hold all words that a suffix reaches
+    reach = ((words.doc[place] << 12) | (before << 6) | after).astype(np.uint64)
+    alike = mix(grams[place - before] * SLOTS[0] + grams[place] * SLOTS[1] + grams[place + after] * SLOTS[2] + reach * SLOTS[3])
+    kept, extent = periods(alike, place)
+    return grams[place[kept]], place[kept], before[kept], after[kept], extent
+
+
+def periods(alike: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes that are ``alike`` and follow each other within LEAST words, the first, and the words from it to the last."""
+    order = np.argsort(alike, kind="stable")
+    alike, place = alike[order], place[order]
+    block = place >> (POSITION - EXTENT)
+    first = np.flatnonzero(np.concatenate([[True], (alike[1:] != alike[:-1]) | (np.diff(place) > LEAST) | (block[1:] != block[:-1])]))
+    last = np.append(first[1:], len(place)) - 1
+    by = np.argsort(order[first])
+    return order[first][by], (place[last] - place[first])[by]
+
+
+def packed(place: np.ndarray, before: np.ndarray, after: np.ndarray, extent: np.ndarray) -> np.ndarray:
+    return (place << POSITION) | (extent << EXTENT) | (before << 7) | (after << 1)
 
 
-def packed(place: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return (place << POSITION) | (before << 7) | (after << 1)
+def extents(suffix: np.ndarray) -> np.ndarray:
+    return (suffix >> EXTENT) & ((1 << (POSITION - EXTENT)) - 1)
 
 
 def anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +111,9 @@ def anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
         for at, _, data, offs in chunks(batch, "text"):
             words = Words(data, offs)
-            gram, place, before, after = anchors(words)
+            gram, place, before, after, extent = anchors(words)
             doc = words.doc[place]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(gram)), pa.array(ids[at + doc]), pa.array(marks[at + doc]), pa.array(packed(place - words.first[doc], before, after))], names=["gram", "doc_id", "mark", "suffix"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(gram)), pa.array(ids[at + doc]), pa.array(marks[at + doc]), pa.array(packed(place - words.first[doc], before, after, extent))], names=["gram", "doc_id", "mark", "suffix"])
 
 
 def context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +146,7 @@ def context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 whole = np.zeros(len(of), np.uint64)
                 for j in range(LEAST):
                     whole += words.hash[start + j] * SLOTS[j]
-                yield context_rows(batch, at + row[of], mix(whole), start - words.first[row[of]], pa.nulls(len(of), pa.binary()))
+                yield context_rows(batch, at + row[of], mix(whole), packed(start - words.first[row[of]], 0, 0, extents(flat[of])), pa.nulls(len(of), pa.binary()))
 
 
 def context_rows(batch: pa.RecordBatch, rows: np.ndarray, key: np.ndarray, suffix: np.ndarray, sides: pa.Array) -> pa.RecordBatch:
@@ -136,7 +162,7 @@ def neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         sides = np.frombuffer(b"".join(table.column("sides").to_pylist()), np.uint32).reshape(-1, 2 * SIDE)
         order = np.lexsort([*(sides[:, i] for i in range(2 * SIDE - 1, SIDE - 1, -1)), key])
         key, doc, suffix, sides, marks = key[order], doc[order], suffix[order], sides[order], table.column("mark").to_numpy()[order]
-        place, before, after = suffix >> POSITION, (suffix >> 7) & 63, (suffix >> 1) & 63
+        place, before, after, extent = suffix >> POSITION, (suffix >> 7) & 63, (suffix >> 1) & 63, extents(suffix)
         unlike = sides[1:, SIDE:] != sides[:-1, SIDE:]
         common = np.where(unlike.any(1), unlike.argmax(1), SIDE)
         common[key[1:] != key[:-1]] = -1
@@ -166,7 +192,7 @@ def neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         cut = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (holders[1:] != holders[:-1])]))
         last = np.append(cut[1:], len(rows)) - 1
         at = rows[cut]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(marks[at]), pa.array(holders[cut]), pa.array(place[at] - lefts[last]), pa.array(place[at] - lefts[cut] + LEAST)], names=["doc_id", "mark", "earlier_doc_id", "start_word", "end_word"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(marks[at]), pa.array(holders[cut]), pa.array(place[at] - lefts[last]), pa.array(place[at] + extent[at] - lefts[cut] + LEAST)], names=["doc_id", "mark", "earlier_doc_id", "start_word", "end_word"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -196,9 +222,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, scratch: Scratch | N
     scratch.drop(kept, wanted)
     shape = "doc_id long, mark long, earlier_doc_id long, start_word long, end_word long"
     near = contexts.filter("sides is not null").repartition("key").sortWithinPartitions("key").mapInArrow(neighbour_batches, shape)
-    runs = contexts.filter("sides is null").select("key", "doc_id", "mark", F.col("suffix").alias("start_word"))
+    start, extent = F.shiftright("suffix", POSITION), F.shiftright("suffix", EXTENT).bitwiseAND((1 << (POSITION - EXTENT)) - 1)
+    runs = contexts.filter("sides is null").select("key", "doc_id", "mark", start.alias("start_word"), (start + extent + LEAST).alias("end_word"))
     holders = runs.groupBy("key").agg(F.min("doc_id").alias("earlier_doc_id"), F.max("doc_id").alias("hi")).filter("earlier_doc_id < hi").drop("hi")
-    crowd = runs.join(holders, "key").filter("doc_id > earlier_doc_id").select("doc_id", "mark", "earlier_doc_id", "start_word", (F.col("start_word") + LEAST).alias("end_word"))
+    crowd = runs.join(holders, "key").filter("doc_id > earlier_doc_id").select("doc_id", "mark", "earlier_doc_id", "start_word", "end_word")
     one = W.partitionBy("doc_id", "mark", "earlier_doc_id").orderBy("start_word", "end_word")
     found = near.union(crowd).withColumn("reach", F.max("end_word").over(one.rowsBetween(W.unboundedPreceding, -1)))
     found = found.withColumn("stretch", F.sum(F.when(F.col("start_word") <= F.col("reach"), 0).otherwise(1)).over(one.rowsBetween(W.unboundedPreceding, 0)))

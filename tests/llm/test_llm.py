@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,6 +286,55 @@ def test_suffixes_repeated_and_missing_ids(spark):
     assert cut == sorted((i or 0, "c d " if i == 7 else t or "") for i, t in rows)
 
 
+def round_and_round(rng, n, period):
+    """``n`` words that repeat the same ``period`` words."""
+    return (words(rng, period) * (n // period + 1))[:n]
+
+
+def test_suffixes_of_short_periods_are_few():
+    """Words in a short period: rows for its beginning and end, not for each time it comes again."""
+    rng = random.Random(8)
+    for period in (1, 2, 3, 20, 40, 50):
+        counts = {}
+        for n in (600, 6000):
+            text = " ".join([*words(rng, 60), *round_and_round(random.Random(period), n, period), *words(rng, 60)])
+            batch = pa.RecordBatch.from_pydict({"doc_id": [1], "mark": [1], "text": [text]})
+            made = pa.Table.from_batches(suffixes.anchor_batches([batch])).to_pydict()
+            wanted = pa.array([[s | crowded for s in made["suffix"]] for crowded in (0, 1)], pa.list_(pa.int64()))
+            both = pa.RecordBatch.from_pydict({"doc_id": [1, 1], "mark": [1, 1], "text": [text] * 2, "suffixes": wanted})
+            contexts = pa.Table.from_batches(suffixes.context_batches([both]))
+            counts[n] = (len(made["suffix"]), contexts["sides"].null_count)
+        # the words around differ, and with them a few suffixes
+        assert all(abs(a - b) <= c for a, b, c in zip(counts[600], counts[6000], (30, 300))), (period, counts)
+
+
+@pytest.mark.parametrize("crowd", [3, 10**6])
+def test_suffixes_of_short_periods(spark, monkeypatch, crowd):
+    """Texts that share words in periods up to, at and over LEAST, in other phases and lengths, and with words between: the stretches of the SQL."""
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    rng = random.Random(9)
+    rows = []
+    for period in (1, 2, 3, 7, 24, 25, 26, 49, 50, 51, 75, 120):
+        for n in (49, 50, 55, 130, 400):
+            turn = round_and_round(random.Random(period), n + period, period)[rng.randrange(period) :][:n]
+            rows.append((len(rows), " ".join([*words(rng, rng.randrange(30), 10**6), *turn, *words(rng, rng.randrange(60), 10**6), *(turn if n == 130 else []), *words(rng, 5, 10**6)])))
+    seen, want = {}, []
+    for i, text in rows:
+        grams = [tuple(w) for w in zip(*(text.split()[k:] for k in range(50)))]
+        for at, g in enumerate(grams):
+            if seen.setdefault(g, i) < i:
+                old = next((x for x in reversed(want) if x[:2] == [i, seen[g]] and x[3] >= at), None)
+                if old:
+                    old[3] = at + 50
+                else:
+                    want.append([i, seen[g], at, at + 50])
+    n = 530_000  # more words than an extent has bits for
+    rows += [(1000 + i, f"{i}x " + "round " * n) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted([r.doc_id, r.earlier_doc_id, r.start_word, r.end_word] for r in suffixes.repeated_passages(spark, df).collect())
+    assert len(want) >= 40 and got == sorted([*want, [1001, 1000, 1, n + 1]])
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_ngrams(spark, docs, none, texts, order, monkeypatch):
     monkeypatch.setattr(ngrams, "BLOCK_BYTES", 3000)
